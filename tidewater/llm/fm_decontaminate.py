@@ -11,17 +11,16 @@ that no window holds cannot be covered, so a shard keeps only stretches of windo
 long enough for the shortest window.
 
 The benchmark side is sent to the workers in blocks of items of bounded bytes; each block is one
-pass over the documents and the spans of all blocks are merged.
+narrow pass over the documents, which carry their spans from one to the next.
 
 Edge cases: null texts have no words; an empty benchmark leaves every document clean; a null
-item_id still marks words but is not listed; equal items are each listed; documents with equal or
-null doc_ids stay separate rows only in a single pass (equal ids are merged otherwise); a window
-never crosses documents; extra columns are ignored.
+item_id still marks words but is not listed; equal items are each listed; repeated rows and null
+doc_ids stay rows of their own; a window never crosses documents; extra columns are ignored by
+:func:`scan` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,61 +237,61 @@ def scan_slice(raw: np.ndarray, offsets: np.ndarray, windows: dict) -> tuple[np.
 
 # --- Spark ---------------------------------------------------------------------------------
 
-_SCAN = "doc_id long, text string, n_words long, spans array<array<int>>, items array<long>"
+#: Columns that a pass adds to; their names stay clear of those of the documents.
+_WORDS, _SPANS, _ITEMS = "__fm_words", "__fm_spans", "__fm_items"
 
 
-def _scanner(shared, with_text: bool):
+def _scanner(shared, text_at: int):
+    """A pass over one block: its spans and items join those that the rows carry already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         ids = windows["item_ids"]
         for batch in batches:
-            for lo, hi, offsets, raw in tx.slices(batch.column(1), SHARD_BYTES):
+            for lo, hi, offsets, raw in tx.slices(batch.column(text_at), SHARD_BYTES):
                 n = hi - lo
+                own = batch.slice(lo, n)
                 n_words, span_row, spans, item_row, item = scan_slice(raw, offsets, windows)
-                bounds = tx.row_bounds(span_row, n).astype(np.int32)
-                pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(spans) + 1, 2, dtype=np.int32)), pa.array(spans.ravel().astype(np.int32)))
-                of = tx.row_bounds(item_row, n)
-                listed = [sorted({ids[k] for k in item[of[d] : of[d + 1]].tolist()} - {None}) for d in range(n)]
-                texts = batch.column(1).slice(lo, n) if with_text else pa.nulls(n, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), texts.cast(pa.string()), pa.array(n_words), pa.ListArray.from_arrays(pa.array(bounds), pairs), pa.array(listed, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "spans", "items"])
+                first, of = tx.row_bounds(span_row, n), tx.row_bounds(item_row, n)
+                before, listed = own.column(own.num_columns - 2).to_pylist(), own.column(own.num_columns - 1).to_pylist()
+                for d in np.flatnonzero(np.diff(first)).tolist():
+                    before[d] = merged(before[d] + spans[first[d] : first[d + 1]].tolist())
+                    listed[d] = sorted({*listed[d], *(ids[k] for k in item[of[d] : of[d + 1]].tolist())} - {None})
+                columns = [*own.columns[:-3], pa.array(n_words), pa.array(before, pa.list_(pa.list_(pa.int32()))), pa.array(listed, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
 
-def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for spans in batch.column(3).to_pylist():
-            merged: list[list[int]] = []
-            for s, e in sorted(spans):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            out.append(merged)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(4)], names=["doc_id", "text", "n_words", "spans", "items"])
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, text (with ``with_text``), n_words, spans (merged, in words, end
-    excluded), items (those with a window in the document, ascending)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans joined where they overlap or touch, ascending."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([s, e])
+    return out
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, text_col: str) -> DataFrame:
+    """``docs`` with the number of words, merged spans (in words, end excluded) and items hit."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(total // block_bytes) + 1
-    passes = []
+    marked = docs.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<array<int>>"), _ITEMS: F.array().cast("array<bigint>")})
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        shared = spark.sparkContext.broadcast(make_windows([(r["item_id"], r["text"]) for r in block.collect()], size))
-        passes.append(docs.mapInArrow(_scanner(shared, with_text), _SCAN))
-    if n_blocks == 1:
-        return passes[0]
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.unionByName(other)
-    merged = found.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "text", "n_words", "spans", "items").mapInArrow(_merge_spans, _SCAN)
+        shared = docs.sparkSession.sparkContext.broadcast(make_windows([(r["item_id"], r["text"]) for r in block.collect()], size))
+        marked = marked.mapInArrow(_scanner(shared, docs.columns.index(text_col)), marked.schema)
+    return marked
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, spans (merged, in words, end excluded), items (those with a
+    window in the document, ascending)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _marked(own, benchmark, size, block_bytes, "text").select("doc_id", F.col(_WORDS).alias("n_words"), F.col(_SPANS).alias("spans"), F.col(_ITEMS).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, **options) -> DataFrame:
@@ -303,32 +302,39 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, **options)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, offsets, raw in tx.slices(batch.column(1), SHARD_BYTES):
-            spans = batch.column(2).slice(lo, hi - lo).to_pylist()
-            starts, ends, rows = tx.spans(tx.LOWER[raw], offsets, tx.NON_WORD)
-            first, data, out = tx.row_bounds(rows, hi - lo), raw.tobytes(), []
-            for d, own in enumerate(spans):
-                at, parts = int(offsets[d]), []
-                for s, e in own or []:
-                    parts.append(data[at : starts[first[d] + s]])
-                    at = int(ends[first[d] + e - 1])
-                parts.append(data[at : int(offsets[d + 1])])
-                out.append(b"".join(parts).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.string())], names=["doc_id", "text"])
+def _cut(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, offsets, raw in tx.slices(batch.column(text_at), SHARD_BYTES):
+                own = batch.slice(lo, hi - lo)
+                starts, ends, rows = tx.spans(tx.LOWER[raw], offsets, tx.NON_WORD)
+                first, data, texts = tx.row_bounds(rows, hi - lo), raw.tobytes(), own.column(text_at).to_pylist()
+                for d, spans in enumerate(own.column(own.num_columns - 2).to_pylist()):
+                    if spans:
+                        at, parts = int(offsets[d]), []
+                        for s, e in spans:
+                            parts.append(data[at : starts[first[d] + s]])
+                            at = int(ends[first[d] + e - 1])
+                        parts.append(data[at : int(offsets[d + 1])])
+                        texts[d] = b"".join(parts).decode("utf-8", "replace")
+                columns = list(own.columns)
+                columns[text_at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    return run
 
-def remove_spans(found: DataFrame) -> DataFrame:
-    """(doc_id, text) of :func:`scan` rows with text, the words of every span cut out."""
-    return found.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string")
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """``docs`` with all their columns, the covered words cut out of each text; a document that
+    had words and keeps none goes."""
+    marked = _marked(docs, benchmark, size, block_bytes, text_col)
+    hit = F.aggregate(_SPANS, F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
+    left = marked.where((F.col(_WORDS) == 0) | (hit < F.col(_WORDS)))
+    cut = left.mapInArrow(_cut(docs.columns.index(text_col)), left.schema)
+    return cut.select(*docs.columns)
 
 
 def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item against the whole ``documents`` table."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-
-# kept for callers that only have Python values, such as tests
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

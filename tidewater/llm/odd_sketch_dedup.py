@@ -248,7 +248,8 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the first document of each component; all columns stay."""
+    """``docs`` without all but the first document of each component; all columns stay.  Rows
+    that repeat a doc_id are one document and stay or go together."""
     gone = find_duplicates(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"))
     gone = materialize(gone.distinct(), "dropped")
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -51,24 +51,24 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
 
 def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
     """``docs`` with the boilerplate lines of each host taken out of ``text_col``; with ``counts``
-    also ``_host``, ``_n_lines`` and ``_n_dropped`` (lines with content, before and dropped)."""
+    also ``__line_host``, ``__line_count`` and ``__line_dropped`` (lines with content, before and dropped)."""
     pages = docs.select(host.alias("host"), F.col(text_col).alias("text"))
     found = materialize(boilerplate(pages, ratio, least_pages), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_set("line").alias("_lines")).withColumnRenamed("host", "_list_host")
+    lists = found.groupBy("host").agg(F.collect_set("line").alias("__line_list")).withColumnRenamed("host", "__line_list_host")
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    marked = docs.withColumn("_host", host)
-    joined = marked.join(lists, marked["_host"].eqNullSafe(lists["_list_host"]), "left").drop("_list_host")
+    marked = docs.withColumn("__line_host", host)
+    joined = marked.join(lists, marked["__line_host"].eqNullSafe(lists["__line_list_host"]), "left").drop("__line_list_host")
     text, lines = F.col(text_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    drop = lambda line: F.array_contains("_lines", F.xxhash64(trimmed(line)))
+    drop = lambda line: F.array_contains("__line_list", F.xxhash64(trimmed(line)))
     kept = F.array_join(F.filter(lines, lambda line: ~drop(line)), "\n")
-    cleaned = F.when(F.col("_lines").isNull() | text.isNull(), text).otherwise(kept)
+    cleaned = F.when(F.col("__line_list").isNull() | text.isNull(), text).otherwise(kept)
     if counts:
         full = F.filter(lines, lambda line: trimmed(line) != "")
-        dropped = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, drop)))
-        joined = joined.withColumns({"_n_lines": F.size(full).cast("long"), "_n_dropped": dropped.cast("long")})
-    out = joined.withColumn(text_col, cleaned).drop("_lines")
-    return out if counts else out.drop("_host")
+        dropped = F.when(F.col("__line_list").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, drop)))
+        joined = joined.withColumns({"__line_count": F.size(full).cast("long"), "__line_dropped": dropped.cast("long")})
+    out = joined.withColumn(text_col, cleaned).drop("__line_list")
+    return out if counts else out.drop("__line_host")
 
 
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -92,7 +92,7 @@ def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("site"), visible_lines(F.col("html")).alias("text"))
     cleaned = drop_boilerplate(texts, F.col("site"), counts=True)
-    return cleaned.select("page_id", F.col("site").alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return cleaned.select("page_id", F.col("site").alias("host"), F.col("__line_count").alias("n_lines"), F.col("__line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = rf"""
