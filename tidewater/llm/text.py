@@ -143,25 +143,26 @@ def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
 class WordCache:
     """word -> value, in two generations: memory stays bounded, frequent words stay."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         self.limit, self.young, self.old = limit, {}, {}
 
     def lookup(self, words: list[bytes], make) -> list:
         """Values of ``words``; ``make`` gets the list of those unknown and returns theirs."""
         young, old = self.young, self.old
-        found = [young.get(w) for w in words]
-        missing = []
-        for i, v in enumerate(found):
-            if v is None:
+        found = list(map(young.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if old and missing:
+            for i in missing:
                 v = old.get(words[i])
-                if v is None:
-                    missing.append(i)
-                else:
+                if v is not None:
                     found[i] = young[words[i]] = v
+            missing = [i for i in missing if found[i] is None]
         if missing:
             new = [words[i] for i in missing]
-            for i, w, v in zip(missing, new, make(new), strict=True):
-                found[i] = young[w] = v
+            made = make(new)
+            for i, v in zip(missing, made, strict=True):
+                found[i] = v
+            young.update(zip(new, made))
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return found

@@ -19,25 +19,33 @@ empty table gives an empty store, and other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
+from tidewater.llm.lexicon_bpe import byte_alphabet
 from tidewater.llm.workspace import delete_path, materialize, new_path
 
 DIGEST = 16
 #: Rows of the duplicates table up to which it is broadcast (12 bytes of key each).
 BROADCAST_ROWS = 1_000_000
 N_BUCKETS = 64
+#: Text encoded at once: the more, the fewer distinct words are looked up again.
+SLICE_BYTES = 4 << 20
 
 _GRAPHIC = tx.byte_class(range(0x21, 0x7F))
+_ALNUM = tx.byte_class(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B))
+_STOP = tx.byte_class(*b",.;:!?")
 
 
 def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -48,6 +56,7 @@ def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     newline never joins what stands before it.  So a cut is safe before a space or newline after
     an ASCII graphic character, before a space between any byte and a graphic one (a wide space
     before it stays with what precedes), and after a single newline between graphic characters.
+    A word of letters or digits also ends before common punctuation.
     """
     if not len(raw):
         return np.zeros(0, dtype=np.int64)
@@ -66,7 +75,7 @@ def cut_points(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = ((raw == 0x20) & (before | (high_before & after))) | newline
     # a newline that begins its text has no neighbour before it: ``before`` looks across texts
     lone = newline & after & ~first[:-1]
-    cut[1:] |= lone[:-1]
+    cut[1:] |= lone[:-1] | (_STOP[raw[1:]] & _ALNUM[raw[:-1]])
     cut |= first[:-1]
     return np.flatnonzero(cut)
 
@@ -110,40 +119,63 @@ def chunk_bounds(ids: np.ndarray, doc_bounds: np.ndarray, mask_bits: int, least:
 _STAGED = "kind int, pack int, row int, digest binary, n int, width int, payload binary, doc_id long, n_tokens long, root binary, digests binary"
 _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("pack", pa.int32()), ("row", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary())])
 
+class Encoder:
+    """The library's tokenizer.  A segment that its pattern would take as one word goes straight
+    to its model; any other goes through the whole tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.letters = dict(enumerate(byte_alphabet()))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each segment as little-endian 32-bit integers."""
+        out: list = [None] * len(words)
+        rest, tokenize, space = [], self.model.tokenize, self.letters[0x20]
+        for i, w in enumerate(words):
+            body = w[1:] if w[:1] == b" " else w
+            if body.isalpha():  # ASCII letters stand for themselves in the alphabet
+                word = body.decode("ascii")
+            elif _ONE_WORD.fullmatch(body.decode("utf-8", "replace")):
+                word = body.decode("latin-1").translate(self.letters)
+            else:
+                rest.append(i)
+                continue
+            out[i] = array("I", [t.id for t in tokenize(word if body is w else space + word)]).tobytes()
+        for i, e in zip(rest, self.whole.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+_ONE_WORD = regex.compile(r"\p{L}+")
 _loaded: dict = {}
 
 
-def _tokenizer(path: str):
-    """The library's tokenizer and this worker's word cache, loaded once in a worker."""
+def _tokenizer(path: str) -> tuple[Encoder, tx.WordCache]:
+    """The encoder and this worker's word cache, made once in a worker."""
     if path not in _loaded:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = (Tokenizer.from_file(path), tx.WordCache())
+        _loaded[path] = (Encoder(path), tx.WordCache())
     return _loaded[path]
 
 
-def encode_slice(raw: np.ndarray, offsets: np.ndarray, tokenizer, cache: tx.WordCache, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(raw: np.ndarray, offsets: np.ndarray, tokenizer: Encoder, cache: tx.WordCache, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, bounds of each text's ids), the end id included."""
     n = len(offsets) - 1
     starts = cut_points(raw, offsets)
     ends = np.append(starts[1:], len(raw))
     codes, first = tx.distinct(tx.span_hash(raw, starts, ends))
 
-    def encode(words: list[bytes]) -> list[np.ndarray]:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in found]
-
-    values = cache.lookup(tx.take_spans(raw, starts[first], ends[first]), encode) if len(first) else []
+    values = cache.lookup(tx.take_spans(raw, starts[first], ends[first]), tokenizer.encode_words) if len(first) else []
     per_doc = np.searchsorted(starts, offsets[1:])
     if end_id is not None:
         codes = np.insert(codes, per_doc, len(values))
         per_doc = per_doc + np.arange(1, n + 1)
-        values = [*values, np.array([end_id], dtype=np.uint32)]
-    lengths = np.array([len(v) for v in values], dtype=np.int64)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint32)
+        values = [*values, end_id.to_bytes(4, "little")]
+    lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
     base = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(lengths) else lengths
     each = lengths[codes]
     upto = np.concatenate([[0], np.cumsum(each)])
@@ -157,7 +189,7 @@ def _stage(tokenizer_path: str, end_id: int, mask_bits: int, least: int, most: i
         pack, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
             doc_ids = batch.column(0)
-            for lo, hi, offsets, raw in tx.slices(batch.column(1)):
+            for lo, hi, offsets, raw in tx.slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = encode_slice(raw, offsets, tokenizer, cache, end_id)
                 cols: dict[str, list] = {f.name: [] for f in _STAGED_ARROW}
 
