@@ -1,4 +1,6 @@
 """All queries over program facts: name -> callable, and name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewater.plans import graph_queries, selection_queries  # noqa: F401  (each registers its queries)
+from tidewater.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
