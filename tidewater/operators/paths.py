@@ -19,6 +19,12 @@ def _literal(path: list[str]) -> Column:
     return F.array(*map(F.lit, path)) if path else F.array().cast("array<string>")
 
 
+def strict_prefixes(path: Column) -> Column:
+    """All prefixes shorter than ``path``, the root first; none for the root."""
+    heads = F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda n: F.slice(path, F.lit(1), n))
+    return F.when(F.size(path) > 0, heads).otherwise(F.array().cast("array<array<string>>"))
+
+
 def rest(path: Column, n: Column) -> Column:
     """``path`` after its first ``n`` steps."""
     return F.slice(path, n + 1, F.greatest(F.size(path) - n, F.lit(0)))
@@ -61,7 +67,7 @@ def prune(tree: DataFrame) -> DataFrame:
     """``tree`` without elements that an ancestor of their path holds."""
     upper = tree.select("key", "element", F.col("path").alias("upper"))
     # every path names its own ancestors, so this is an equi-join on (key, element, path)
-    ancestors = tree.withColumn("upper", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", 1, n)))).where("size(path) > 0")
+    ancestors = tree.withColumn("upper", F.explode(strict_prefixes(F.col("path"))))
     gone = ancestors.join(upper, ["key", "element", "upper"], "left_semi").select("key", "path", "element").distinct()
     return tree.join(gone, ["key", "path", "element"], "left_anti")
 
@@ -78,7 +84,7 @@ def limit_leaves(tree: DataFrame, most: int, deepest: int) -> DataFrame:
     The smallest k at which more than ``most`` distinct leaf paths remain gives height k - 1; a
     key without such a k is not listed.
     """
-    inner = tree.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("path")).where("size(path) > 0").distinct()
+    inner = tree.select("key", F.explode(strict_prefixes(F.col("path"))).alias("path")).where("size(path) > 0").distinct()
     leaves = tree.select("key", "path").distinct().where("size(path) > 0").join(inner, ["key", "path"], "left_anti")
     cuts = leaves.select("key", F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("k"), "path").select("key", "k", F.slice("path", F.lit(1), F.col("k")).alias("head")).distinct()
     over = cuts.groupBy("key", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
