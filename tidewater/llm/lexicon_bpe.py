@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
+from tidewater.llm.workspace import materialize
 
 #: Entries of the lexicon: what bounds its size.
 LEXICON_WORDS = 65_536
@@ -48,7 +49,6 @@ def compile_words(words: list[bytes]) -> dict[str, np.ndarray]:
     """
     register: dict = {}
     nodes: list[list] = [[False, {}]]  # [final, {byte: node}]; node 0 is the root
-    frozen: dict[int, int] = {}
 
     path, previous = [0], b""
 
@@ -61,7 +61,6 @@ def compile_words(words: list[bytes]) -> dict[str, np.ndarray]:
             nodes[parent][1][byte] = same
             if same != node:
                 nodes[node] = None
-            frozen[same] = 1
 
     for w in words:
         common = 0
@@ -297,14 +296,25 @@ def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def frequent_segments(docs: DataFrame, limit: int = LEXICON_WORDS, text_col: str = "text") -> list[bytes]:
-    """The most frequent white-space separated segments of all texts.
+    """The most frequent white-space separated segments of all texts, ``limit`` at most.
 
     A slice (2 MB of text) where a segment stands only once adds nothing to its count: the tail
     of words seen once is most of the distinct ones and never frequent.
     """
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_segments, "segment binary, n long")
-    top = counted.groupBy("segment").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "segment").limit(limit)
-    return [bytes(r["segment"]) for r in top.collect()]
+    totals = materialize(counted.groupBy("segment").agg(F.sum("n").alias("n")), "segment-counts")
+    # the least count class (sixteenths of a power of two) from which all words still fit
+    level = F.floor(F.log2("n") * 16)
+    sizes = totals.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    room, least = limit, None
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    return sorted(bytes(r["segment"]) for r in totals.where(level >= least).select("segment").collect())
 
 
 def build_lexicon(segments: list[bytes], tokenizer_path: str) -> dict[str, np.ndarray]:
