@@ -24,9 +24,9 @@ def may_always(tags: DataFrame, keys: list[str], frame: str, tag: str = "tag", a
 
     A tag is 'always' if every frame of the key has it as always, and 'may' if it is seen at all.
     """
-    total = tags.groupBy(*keys).agg(F.countDistinct(frame).alias("n"))
-    seen = tags.where(F.col(tag).isNotNull()).groupBy(*keys, tag).agg(F.countDistinct(F.when(F.col(always), F.col(frame))).alias("k"))
-    return seen.join(total, keys).select(*keys, tag, F.when(F.col("k") == F.col("n"), "always").otherwise("may").alias("kind"))
+    total = tags.groupBy(*keys).agg(F.countDistinct(frame).alias("__n"))
+    seen = tags.where(F.col(tag).isNotNull()).groupBy(*keys, tag).agg(F.countDistinct(F.when(F.col(always), F.col(frame))).alias("__k"))
+    return seen.join(total, keys).select(*keys, tag, F.when(F.col("__k") == F.col("__n"), "always").otherwise("may").alias("kind"))
 
 
 def add_features(left: Column, right: Column) -> Column:
