@@ -182,3 +182,15 @@ def test_depth_stops_growth(spark):
     temps = spark.createDataFrame([("m", "t")], "method string, node string")
     assert localflow.eliminate(edges, temps, depth=3).count() == 3
     assert localflow.eliminate(edges, temps, depth=3, most_edges=2).count() == 0
+
+
+def test_resolution_and_refinement(spark):
+    from tidewater.operators import program
+
+    closure = graph.extends_closure(_types(spark))
+    decls = spark.createDataFrame([(1, "f", "Base"), (2, "f", "A"), (3, "g", "Base")], "method_id long, name string, type string")
+    sites = spark.createDataFrame([(1, "AA", "f"), (2, "B", "f"), (3, "AA", "g"), (4, "AA", "h")], "site int, type string, name string")
+    assert {r.site: r.method for r in program.resolve_targets(sites, decls, closure).collect()} == {1: 2, 2: 1, 3: 3}
+    local = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "key int, local string")
+    found = spark.createDataFrame([(1, "AA"), (2, "B")], "key int, global string")
+    assert {r.key: r.type for r in program.refine_types(local, found, closure).collect()} == {1: "AA", 2: "A", 3: "B"}
