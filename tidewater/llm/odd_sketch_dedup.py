@@ -12,8 +12,8 @@ share the smallest doc_id reachable.
    bucket's hub (the class that shares the most buckets), which is linear and joins most copies.
 4. Where a hub's group still falls into several components, its leftover classes get a second hub
    of their own.  What then remains is searched exactly: with the shingles ordered 'outside the
-   hub's set first', two sets at the threshold share an element among the first
-   ``n - ceil(percent * n) + 1`` of both, and only such pairs of different components are confirmed.
+   hub's set first, the rarest ahead', two sets at the threshold share an element among the first
+   ``n - ceil(percent * n) + 1`` of both, and only sets that may have such a partner are compared.
 5. Links are confirmed on full sets; components grow by alternating stars.
 
 A pair at similarity 0.85 shares no band with probability (1 - 0.85**3)**20 < 1e-8; once it shares
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
@@ -42,6 +42,8 @@ SKETCH_BITS = 256
 #: XOR bits above which a pair is dropped: 27 of 60 samples differ, where at similarity 0.8 the
 #: expected number is 12 (probability below 1e-5, and below 1e-8 at 0.85).
 MOST_XOR_BITS = 54
+#: Sets of one block, and elements multiplied at once, in the exact search.
+BLOCK, STRIP = 512, 1024
 #: Ids (8 bytes each) up to which a list is broadcast.
 BROADCAST_IDS = 1_000_000
 MOST_ROUNDS = 60
@@ -145,30 +147,90 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     joined = pairs.join(one, "a").join(two, "b")
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return joined.where(sized & (_xor_bits("ka", "kb") <= MOST_XOR_BITS)).select("a", "b")
+    near = joined.where(sized & (_xor_bits("ka", "kb") <= MOST_XOR_BITS))
+    return near.select("a", "b", F.lit(False).alias("star"))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, prefixes: bool) -> DataFrame:
-    """(a, b, linked) of distinct pairs, on full sets; with ``prefixes`` also ``first``: the
-    elements of a's set to compare, those outside b's set before those inside."""
+def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, star, linked) of distinct ``pairs(a, b, star)``, confirmed on full sets; for stars
+    also what :func:`_rest` compares: ``n`` and ``take`` (the size of a's set and how many of its
+    first elements count), ``outside`` and ``missing`` (what it has beyond b's set and lacks of it)
+    and ``room`` (how many common elements ``take`` still reaches)."""
     involved = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "involved")
     some = docs.join(_small(involved), docs["doc_id"] == involved["cid"], "left_semi").select("doc_id", "text")
     sets = materialize(some.mapInArrow(_sets(k), "cid long, members array<long>"), "sets")
     one = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b")
-    joined = joined.withColumn("inside", F.array_intersect("sa", "sb"))
-    both, na, nb = F.size("inside"), F.size("sa"), F.size("sb")
+    joined = joined.withColumn("common", F.array_intersect("sa", "sb"))
+    both, na, nb = F.size("common"), F.size("sa"), F.size("sb")
     linked = both * 100 >= (na + nb - both) * percent
-    if not prefixes:
-        return joined.select("a", "b", linked.alias("linked"))
     take = (na - F.ceil(na * percent / 100.0 - 1e-9) + 1).cast("int")
-    first = F.slice(F.concat(F.array_sort(F.array_except("sa", "sb")), F.array_sort("inside")), F.lit(1), take)
-    return joined.select("a", "b", linked.alias("linked"), first.alias("first"))
+    room = F.greatest(take - (na - both), F.lit(0))
+    own = lambda column: F.when(F.col("star"), column)
+    return joined.select("a", "b", "star", linked.alias("linked"), own(na).alias("n"), own(take).alias("take"), own(F.array_except("sa", "sb")).alias("outside"), own(F.array_except("sb", "sa")).alias("missing"), own(room).alias("room"))
+
+
+def _rest(held: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components ``ca`` within a hub's group.
+
+    Elements are ordered: those outside the hub's set first, the rarest in the group ahead, then
+    those inside.  Two linked sets share one of their first ``take`` elements.  If they share none
+    outside the hub's set, the smaller one has at least 2 * percent / (100 + percent) of its
+    elements inside (it is 'inner').  Sets that can have no partner by this leave.  The others are
+    compared in blocks, by what they have beyond the hub's set and lack of it: a few elements each,
+    whose products give all intersections of a block pair at once.  No pair but a link is made.
+    """
+    beyond = held.select("hub", "a", "ca", "take", F.explode("outside").alias("e"))
+    counts = beyond.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.min("ca").alias("lo"), F.max("ca").alias("hi"))
+    rarest = Window.partitionBy("hub", "a").orderBy("df", "e")
+    ranked = beyond.join(counts, ["hub", "e"]).withColumn("at", F.row_number().over(rarest))
+    outer = ranked.where("at <= take AND lo <> hi").select("hub", "a")
+    reaching = held.where("room > 0")
+    inner = reaching.where((F.col("n") - F.size("outside")) * (100 + percent) >= 2 * percent * F.col("n")).select("hub").distinct()
+    open_ = outer.union(reaching.join(inner, "hub").select("hub", "a")).distinct()
+    members = materialize(held.join(open_, ["hub", "a"]).select("hub", "a", "ca", "n", F.size("outside").alias("x"), F.size("missing").alias("m"), F.concat("outside", "missing").alias("delta")), "open-members")
+    groups = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("hub", "blocks")
+    dealt = members.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = spread.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "ca", "n", "x", "m", "delta")
+    return paired.groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        a, ca, n, x, m = (table.column(k).to_numpy() for k in range(3, 8))
+        delta = table.column(8).combine_chunks()
+        bounds = delta.offsets.to_numpy() - delta.offsets[0].as_py()
+        code, _ = tx.distinct(delta.flatten().to_numpy())
+        row = np.repeat(np.arange(len(a)), np.diff(bounds))
+        often = np.bincount(code) > 1  # an element of one set adds nothing to an intersection
+        column = np.cumsum(often) - 1
+        keep = often[code]
+        row, code = row[keep], column[code[keep]]
+        shared = np.zeros((len(a), len(a)), np.float32)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for lo in range(0, int(often.sum()), STRIP):
+            s, e = np.searchsorted(code, [lo, lo + STRIP])
+            strip = np.zeros((len(a), STRIP), np.float32)
+            strip[row[s:e], code[s:e] - lo] = 1
+            shared += strip @ strip.T
+        hub = int(n[0] - x[0] + m[0])
+        both = hub - m[:, None] - m[None, :] + shared.astype(np.int64)
+        linked = (both * 100 >= (n[:, None] + n[None, :] - both) * percent) & (ca[:, None] != ca[None, :])
+        one, two = np.nonzero(np.triu(linked))
+        first: dict = {}
+        for p, q in zip(one.tolist(), two.tolist()):  # a link for each pair of components suffices
+            first.setdefault((min(ca[p], ca[q]), max(ca[p], ca[q])), (a[p], a[q]))
+        links = list(first.values())
+        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m").toDF("u", "v")).where("u <> v").distinct(), "edges")
@@ -205,7 +267,7 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # buckets
     rows = classes.select("cid", F.explode("bands").alias("key"))
     sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("size > 1"), "buckets")
-    twos = _near(sizes.where("size = 2").select("a", "b").distinct(), classes, percent)
+    twos = _near(sizes.where("size = 2").select("a", "b").distinct(), classes, percent).drop("star")
     members = materialize(rows.join(_small(sizes.where("size > 2").select("key", "size")), "key"), "members")
     weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
     weighed = members.join(weight, "cid")
@@ -213,9 +275,11 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = materialize(members.join(hubs, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "stars")
 
     # confirmation against hubs, and of lone pairs
-    plain = materialize(_confirm(docs, materialize(twos.join(stars, ["a", "b"], "left_anti"), "pairs"), k, percent, False), "confirmed-pairs")
-    starred = materialize(_confirm(docs, stars, k, percent, True), "confirmed-stars")
-    links = materialize(plain.where("linked").select("a", "b").union(starred.where("linked").select("a", "b")), "links")
+    lone = twos.join(stars, ["a", "b"], "left_anti").withColumn("star", F.lit(False))
+    pairs = materialize(stars.withColumn("star", F.lit(True)).unionByName(lone), "pairs")
+    confirmed = materialize(_confirm(docs, pairs, k, percent), "confirmed")
+    starred = confirmed.where("star")
+    links = confirmed.where("linked").select("a", "b")
     labels = materialize(components(links), "components")
 
     # a second hub for what a hub's group has left
@@ -225,21 +289,15 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = left.join(second, "b").where("a <> hub").select("a", F.col("hub").alias("b")).distinct()
     more = materialize(_near(more, classes, percent), "second-stars")
     if not more.isEmpty():
-        links = materialize(links.union(_confirm(docs, more, k, percent, False).where("linked").select("a", "b")), "links")
+        links = materialize(links.union(_confirm(docs, more, k, percent).where("linked").select("a", "b")), "links")
         labels = materialize(components(links), "components")
 
-    # the exact rest: pairs of different components that share a first element
-    held = materialize(_labelled(_labelled(starred.select("a", "b", "first"), labels, "a", "ca"), labels, "b", "cb"), "held")
-    split = held.groupBy("b", "cb").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> cb OR hi <> cb").select("b")
-    spread = held.join(split, "b").select("b", F.explode("first").alias("e"), "a", "ca")
-    mixed = spread.groupBy("b", "e").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("b", "e")
-    spread = materialize(spread.join(mixed, ["b", "e"]), "first-elements")
-    other = spread.select("b", "e", F.col("a").alias("a2"), F.col("ca").alias("ca2"))
-    rest = spread.join(other, ["b", "e"]).where("ca < ca2").select("a", F.col("a2").alias("b")).distinct()
-    rest = materialize(_near(rest, classes, percent), "rest")
+    # the exact rest
+    held = materialize(_labelled(_labelled(starred.drop("star", "linked"), labels, "a", "ca"), labels, "b", "cb"), "held")
+    split = held.groupBy("b").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi")).where("lo <> hi").select("b")
+    rest = materialize(_rest(held.join(split, "b").withColumnRenamed("b", "hub"), percent), "rest")
     if not rest.isEmpty():
-        links = materialize(links.union(_confirm(docs, rest, k, percent, False).where("linked").select("a", "b")), "links")
-        labels = materialize(components(links), "components")
+        labels = materialize(components(links.union(rest)), "components")
 
     placed = _labelled(classes.select("cid", "f1", "f2", F.col("n").alias("n_shingles")), labels, "cid", "component_id")
     found = signed.select("doc_id", "n_shingles", "f1", "f2").join(placed.drop("cid"), ["f1", "f2", "n_shingles"], "left")
