@@ -134,23 +134,28 @@ def op10_license_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     grams = ", ".join(f"({t}, {quoted(label)}, {p}, {n}, {quoted(g)})" for t, label, p, n, g in template_grams(TEMPLATES, GRAM))
-    phrases = ", ".join(f"({len(p.split())}, {quoted(p)}, {quoted(label)})" for p, label in PHRASES)
+    phrases = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in PHRASES)
+    lengths = sorted({len(p.split()) for p, _ in PHRASES})
+    ahead = ", ".join(f"lead(w0, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, max(*lengths, GRAM)))
+    joined = lambda n: " || ' ' || ".join(f"w{k}" for k in range(n))
+    hits = " UNION ALL ".join(f"SELECT r, i - 1 AS start, ph.label FROM pos JOIN ph ON {joined(n)} = ph.phrase" for n in lengths)
     return rf"""
 WITH tg(template, label, tpos, size, gram) AS (VALUES {grams}),
-ph(n, phrase, label) AS (VALUES {phrases}),
+ph(phrase, label) AS (VALUES {phrases}),
 d AS (
   SELECT doc_id, row_number() OVER () AS r,
          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
-), pos AS (SELECT doc_id, r, w, i FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
-hits AS (
-  SELECT r, i - 1 AS start, ph.label FROM pos JOIN ph ON array_to_string(list_slice(w, i, i + ph.n - 1), ' ') = ph.phrase
+), pos AS (
+  SELECT *, {ahead} FROM (SELECT doc_id, r, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d)
+), hits AS (
+  {hits}
 ), base AS (
   SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM hits GROUP BY r
 ), v AS (
   SELECT doc_id, template, label, size, tpos, tpos - (i - 1) AS diagonal
-  FROM pos JOIN tg ON array_to_string(list_slice(w, i, i + {GRAM - 1}), ' ') = tg.gram
+  FROM pos JOIN tg ON {joined(GRAM)} = tg.gram
 ), diag AS (SELECT DISTINCT doc_id, template, label, size, diagonal FROM v),
 gaps AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEIGHBOUR} THEN 0 ELSE 1 END AS brk FROM diag
