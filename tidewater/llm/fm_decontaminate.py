@@ -338,3 +338,26 @@ def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item against the whole ``documents`` table."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
+
+
+def _oracle() -> str:
+    words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    ahead = ", ".join(f"lead(w0, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, WINDOW))
+    gram = lambda n: " || ' ' || ".join(f"w{k}" for k in range(n))
+    hits = " UNION ALL ".join(f"SELECT dp.r, dp.i, {n} AS n, item_id FROM dp JOIN win ON win.n = {n} AND {gram(n)} = win.g" for n in range(1, WINDOW + 1))
+    windows = " UNION ".join(f"SELECT item_id, {n} AS n, {gram(n)} AS g FROM bp WHERE least(size, {WINDOW}) = {n} AND {gram(n)} IS NOT NULL" for n in range(1, WINDOW + 1))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS r, {words} AS w FROM benchmark),
+dp AS (SELECT *, {ahead} FROM (SELECT r, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d)),
+bp AS (SELECT *, {ahead} FROM (SELECT item_id, r, len(w) AS size, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM b)),
+win AS ({windows}),
+hit AS ({hits}),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, {WINDOW})) AS t(k) WHERE k < n GROUP BY r),
+listed AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
+
+
+OP9_SQL = _oracle()

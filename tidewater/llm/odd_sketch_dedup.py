@@ -316,3 +316,24 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the whole ``documents`` table: three-word shingles, similarity 0.85."""
     return find_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, w0, lead(w0, 1) OVER x AS w1, lead(w0, 2) OVER x AS w2
+  FROM (SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d) WINDOW x AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+  SELECT doc_id, w0 || ' ' || w1 || ' ' || w2 AS e FROM g WHERE w2 IS NOT NULL
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.e = y.e AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.least, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -43,12 +43,12 @@ from tidewater.llm.workspace import materialize
 SPAN = 50
 #: Length of an anchor; a string has SPAN - ANCHOR + 1 places for one.
 ANCHOR = 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 #: Positions handled at once within a group.
 STEP = 1 << 20
 HOT_GROUPS = 20_000
 #: Total bytes of answers up to which they are broadcast to the groups.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 _NO_DOC = np.int64(np.iinfo(np.int64).max)
 U64 = np.uint64
@@ -392,16 +392,16 @@ def _cut(n_deals: int, n_segment_deals: int, with_text: bool):
 
 def cut_group(group: Group, verdicts: list, answers: list, n_segment_deals: int, with_text: bool) -> pa.RecordBatch:
     n = len(group.raw)
-    cover = np.zeros(n + 1, np.int32)
+    cover = np.zeros(n + 1, np.int64)
     if answers:
         _, _, size, _, place, first, count, doc = group.segments([(v["deal"], v["blob"]) for v in verdicts], n_segment_deals)
         parts = [np.repeat(docs, runs) for runs, docs in (_unzip(a["blob"], "<u4", "<i8") for a in sorted(answers, key=lambda a: a["deal"]))]
         earliest, upto = np.concatenate(parts), np.concatenate([[0], np.cumsum(size - SPAN + 1)])
         gone = earliest[_ranges(upto[place], count)] < np.repeat(group.doc_ids[doc], count)
         at = _ranges(first, count)[gone]
-        cover += np.bincount(at, minlength=n + 1)[: n + 1].astype(np.int32)
-        cover -= np.bincount(at + SPAN, minlength=n + 1)[: n + 1].astype(np.int32)
-    removed = np.cumsum(cover[:-1]) > 0
+        cover = np.bincount(at, minlength=n + 1)
+        cover -= np.bincount(at + SPAN, minlength=n + 1)
+    removed = np.cumsum(cover, out=cover)[:-1] > 0
     upto = np.concatenate([[0], np.cumsum(removed)])
     new = removed.copy()
     new[1:] &= ~removed[:-1]
@@ -450,3 +450,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
 def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 50 bytes removed from the whole ``documents`` table."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pos AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(p) WHERE length(h) >= 100),
+early AS (SELECT s, min(doc_id) AS m FROM pos GROUP BY s),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM pos JOIN early USING (s) WHERE m < doc_id),
+run AS (SELECT r, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+span AS (SELECT r, min(p) AS lo, max(p) + 50 AS hi FROM run GROUP BY r, k),
+cut AS (SELECT span.r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY span.r ORDER BY lo), 0) AS at FROM span),
+kept AS (
+  SELECT d.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS left_over
+  FROM cut JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
