@@ -459,9 +459,9 @@ early AS (SELECT s, min(doc_id) AS m FROM pos GROUP BY s),
 hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM pos JOIN early USING (s) WHERE m < doc_id),
 run AS (SELECT r, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
 span AS (SELECT r, min(p) AS lo, max(p) + 50 AS hi FROM run GROUP BY r, k),
-cut AS (SELECT span.r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY span.r ORDER BY lo), 0) AS at FROM span),
+cut AS (SELECT span.r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY span.r ORDER BY lo), 0) AS since FROM span),
 kept AS (
-  SELECT d.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS left_over
+  SELECT d.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS left_over
   FROM cut JOIN d USING (r) GROUP BY d.r)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
