@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from tidewater.llm import fm_decontaminate, lexicon_bpe, odd_sketch_dedup, rule_cascade, site_lines
 from tidewater.llm.workspace import materialize
 
+#: Share of a source's pages above which a line is boilerplate.  A host repeats a template on most
+#: pages; a source mixes many hosts and templates, each on a small part of its pages, while running
+#: text hardly says the same whole line on one page in twenty.
+SOURCE_RATIO = 0.05
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet all quality rules."""
@@ -21,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; a text left blank goes."""
-    cleaned = site_lines.drop_boilerplate(docs, F.col("source"))
+    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), ratio=SOURCE_RATIO)
     return cleaned.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
