@@ -1,6 +1,11 @@
 """Places where an operator once did less than its whole job."""
 
-from tests.llm.corpora import frame
+import numpy as np
+import pyarrow as pa
+
+from tests.llm.corpora import frame, long_repeats
+from tidewater.llm import run_length_dedup
+from tidewater.llm import text as tx
 
 
 def test_pipeline_drops_a_line_on_a_tenth_of_a_source(spark):
@@ -10,3 +15,37 @@ def test_pipeline_drops_a_line_on_a_tenth_of_a_source(spark):
     rows = [(i, own(i) + ("\nshared by a tenth" if i % 10 == 0 else "") + ("\nshared by two" if i < 2 else "")) for i in range(200)]
     found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
     assert found == {i: own(i) + ("\nshared by two" if i < 2 else "") for i in range(200)}
+
+
+def test_segments_around_one_anchor_are_spread():
+    rng = np.random.default_rng(3)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    pool, n_deals, n_segment_deals, sent = letters(1 << 20), 1, 64, pa.schema([("g", pa.int32()), ("deal", pa.int32()), ("blob", pa.binary())])
+    with np.errstate(over="ignore"):
+        raw = np.frombuffer(pool.encode(), np.uint8)
+        prefix, (_, inverse) = tx.prefix_hash(raw), tx._power_tables(len(raw))
+        at = int(np.argmin(tx.mix((prefix[20:] - prefix[:-20]) * inverse[: len(raw) - 19])))
+        passage = pool[at : at + 20]  # its hash is least in any string that holds it
+        rows = [(i, f"{letters(30)}{passage}{letters(30)}") for i in range(12_000)] + [(20_000, "start "), (20_001, "end")]
+        rows += [(30_000 + i, rows[7 * i][1]) for i in range(40)]
+        groups = []
+        for half in (rows[::2], rows[1::2]):
+            table = pa.table({"g": pa.array([len(groups)] * len(half), pa.int32()), "id": pa.array([i for i, _ in half], pa.int64()), "text": [t for _, t in half], "tie": pa.array([0] * len(half), pa.int64())})
+            groups.append(run_length_dedup.Group(run_length_dedup._pack(table).column(1)[0].as_py(), n_deals))
+        anchors = [(g, d, b) for g, group in enumerate(groups) for d, b in group.anchor_deals()]
+        verdicts = run_length_dedup._judge(pa.table([pa.array(c, f.type) for c, f in zip(zip(*anchors), sent)], schema=sent)).to_pylist()
+        load, deals = np.zeros(n_segment_deals, int), {}
+        for g, group in enumerate(groups):
+            to, start, size, least, *_ = group.segments([(v["deal"], v["blob"]) for v in verdicts if v["g"] == g], n_segment_deals)
+            load += np.bincount(to, weights=size, minlength=n_segment_deals).astype(int)
+            for d in np.unique(to).tolist():
+                own = to == d
+                blob = run_length_dedup._zip(size[own].astype("u1"), least[own].astype("<i8"), group.raw[run_length_dedup._ranges(start[own], size[own])])
+                deals.setdefault(d, []).append((g, d, blob))
+        assert load.max() < 2 * load.mean()
+        answers = [a for d in deals.values() for a in run_length_dedup._index(pa.table([pa.array(c, f.type) for c, f in zip(zip(*d), sent)], schema=sent)).to_pylist()]
+        found = []
+        for g, group in enumerate(groups):
+            cut = run_length_dedup.cut_group(group, [v for v in verdicts if v["g"] == g], [a for a in answers if a["g"] == g], n_segment_deals, False)
+            found += [tuple(r.values())[:5] for r in cut.to_pylist()]
+    assert sorted(found, key=repr) == long_repeats(rows)

@@ -7,11 +7,12 @@ Documents are dealt into groups of a few MB.  Every 50-byte string has an anchor
 least hash, which depends on the string alone: equal strings share their anchor, and consecutive
 strings with one anchor form a segment.
 
-1. Groups send the distinct hashes of their anchors, dealt by hash; those in two documents or more
-   are repeated (a bit comes back for each).
+1. Groups send the distinct hashes of their anchors, each with its number of distinct segments,
+   dealt by hash; those in two documents or more are repeated (a state comes back for each).
 2. Groups send the distinct segments around repeated anchors, dealt by anchor, each with its
-   smallest doc_id.  Strings around a hot anchor (in more than ``HOT_GROUPS`` groups) are dealt by
-   their own content, so that no anchor gathers in one task.
+   smallest doc_id.  Strings around a hot anchor (more than ``HOT_SEGMENTS`` segments sent by all
+   groups, or more than ``HOT_GROUPS`` groups) are dealt by their own content, so that no anchor
+   gathers in one task.
 3. Each deal of segments becomes an index: the Burrows-Wheeler transform of the segments, kept as
    runs, with the suffix sampled at run ends and the earliest document sampled at the head of each
    group of rows that agree in ``SPAN`` bytes.  All segments stream through it from their ends by
@@ -47,6 +48,9 @@ GROUP_BYTES = 6 << 20
 #: Positions handled at once within a group.
 STEP = 1 << 20
 HOT_GROUPS = 20_000
+#: Segments around one anchor that may go to one deal: the text of an average deal (an eighth of a
+#: group) in segments of full length.
+HOT_SEGMENTS = (GROUP_BYTES // 8) // (2 * SPAN - ANCHOR)
 #: Total bytes of answers up to which they are broadcast to the groups.
 BROADCAST_BYTES = 16 << 20
 
@@ -129,16 +133,19 @@ class Group:
         self.keys, self.code = np.unique(self.key, return_inverse=True)
 
     def anchor_deals(self) -> Iterator[tuple[int, bytes]]:
-        """(deal, sorted 40-bit hashes and whether two documents here have each)."""
+        """(deal, sorted 40-bit hashes, whether two documents here have each, distinct segments)."""
         n_docs = len(self.doc_ids)
         holders = np.unique(self.code * n_docs + self.doc) // n_docs
         several = np.bincount(holders, minlength=len(self.keys)) > 1
+        again = np.flatnonzero(np.bincount(self.code, minlength=len(self.keys))[self.code] > 1)
+        _, one = tx.distinct(tx.span_hash(self.raw, self.first[again], self.first[again] + self.count[again] + SPAN - 1))
+        sent = np.maximum(np.bincount(self.code[again[one]], minlength=len(self.keys)), 1).astype("<u4")
         deal = (self.keys >> U64(40)).astype(np.int64)
         bounds = np.searchsorted(deal, np.arange(self.n_deals + 1))
         for d in np.flatnonzero(np.diff(bounds)).tolist():
             own = self.keys[bounds[d] : bounds[d + 1]] & U64((1 << 40) - 1)
             step = np.diff(own, prepend=U64(0)).view(np.uint8).reshape(-1, 8)[:, :5]
-            yield d, _zip(step.T.copy(), np.packbits(several[bounds[d] : bounds[d + 1]]))
+            yield d, _zip(step.T.copy(), np.packbits(several[bounds[d] : bounds[d + 1]]), sent[bounds[d] : bounds[d + 1]])
 
     def segments(self, verdicts: list[tuple[int, bytes]], n_deals: int) -> tuple[np.ndarray, ...]:
         """Distinct segments around repeated anchors, by deal: (deal, start, size, min doc_id) and
@@ -198,21 +205,24 @@ def _send_anchors(n_deals: int):
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """For each group of a deal, per hash: 0 in one document, 1 in several, 2 in very many groups."""
-    hashes, several = [], []
+    """For each group of a deal, per hash: 0 in one document, 1 in several, 2 with very many segments."""
+    hashes, several, sent = [], [], []
     for blob in table.column(2).combine_chunks():
-        step, bits = _unzip(blob.as_buffer(), "u1", "u1")
+        step, bits, segments = _unzip(blob.as_buffer(), "u1", "u1", "<u4")
         n = len(step) // 5
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :5] = step.reshape(5, n).T
         hashes.append(np.cumsum(wide.view(U64).ravel(), dtype=U64))
         several.append(np.unpackbits(bits, count=n).astype(bool))
+        sent.append(segments)
     sizes = [len(h) for h in hashes]
     code, first = tx.distinct(np.concatenate(hashes))
     groups = np.bincount(code, minlength=len(first))
     repeated = groups > 1
     repeated[code[np.concatenate(several)]] = True
-    state = (repeated.astype(np.uint8) + (groups > HOT_GROUPS))[code]
+    total = np.bincount(code, weights=np.concatenate(sent), minlength=len(first))
+    hot = repeated & ((groups > HOT_GROUPS) | (total > HOT_SEGMENTS))
+    state = (repeated.astype(np.uint8) + hot)[code]
     upto = np.concatenate([[0], np.cumsum(sizes)])
     return pa.table({"g": table.column(0), "deal": table.column(1), "blob": pa.array([_zip(state[a:b]) for a, b in zip(upto, upto[1:])], pa.binary())})
 
