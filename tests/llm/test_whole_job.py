@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.corpora import frame, long_repeats
-from tidewater.llm import run_length_dedup
+from tidewater.llm import run_length_dedup, surrogates
 from tidewater.llm import text as tx
 
 
@@ -49,3 +49,17 @@ def test_segments_around_one_anchor_are_spread():
             cut = run_length_dedup.cut_group(group, [v for v in verdicts if v["g"] == g], [a for a in answers if a["g"] == g], n_segment_deals, False)
             found += [tuple(r.values())[:5] for r in cut.to_pylist()]
     assert sorted(found, key=repr) == long_repeats(rows)
+
+
+def test_surrogates_of_more_shapes(spark):
+    hidden = ["555-123-4567", "555.123.4567", "030 1234567", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "2001:db8::8a2e:370:7334", "fe80::1", "hunter2hunter2"]
+    rows = [(i, f"see {x} there") for i, x in enumerate(hidden[:-1])] + [(8, "password: hunter2hunter2 set"), (9, "Mrs. Anna Schmidt came. Anna Schmidt left, Annabel stayed."), (10, "Prof. Dr. Karl Weber and Dr. Lena Vogel")]
+    rows += [(11, "at 12:30:45 in std::vector password: required 3.14"), (12, "token=a1")]
+    found = {r.doc_id: r for r in surrogates.replace_entities(frame(spark, rows)).collect()}
+    assert [x for x in [*hidden, "Anna Schmidt", "Karl", "Weber", "Lena", "Vogel"] if any(x in r.text for r in found.values())] == []
+    for i in (3, 4):
+        iban = found[i].text[4:-6].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and len(found[i].text) == len(rows[i][1])
+    first, again = found[9].text.removeprefix("Mrs. ").split(" came. ")
+    assert again == f"{first} left, Annabel stayed." and found[9].n_entities == 2
+    assert found[11].text == rows[10][1] and found[12].text == "token=a1"

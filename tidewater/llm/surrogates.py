@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, social
-security numbers, quoted secrets (hex or alphanumeric, after a word such as token or password),
-and names after a form of address.  A surrogate depends only on the key, the type and the entity's
+Detected: e-mail addresses, phone numbers (international, or national with separators), IPv4 and
+IPv6 addresses, card numbers, account numbers (bare digits, IBAN), social security numbers, secrets
+(hex or alphanumeric, after a word such as token or password; unquoted ones with a digit), names
+after a form of address, and bare repeats of those names in the same text.  A surrogate depends only on the key, the type and the entity's
 canonical form, so the same entity is replaced alike in every document (coreference).
 
 Numbers, secrets and local parts of addresses go through a keyed Feistel permutation over strings
@@ -22,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -41,25 +43,32 @@ MOST_ATTEMPTS = 50
 
 _MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Господин", "Κύριος"]
 _FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία"]
-_ADDRESS_BYTES = [h.encode() for h in _MALE + _FEMALE]
+_NEUTRAL = ["Dr", "Prof", "Doctor", "Professor", "Doktor"]
+_ADDRESS_BYTES = [h.encode() for h in _MALE + _FEMALE + _NEUTRAL]
 
 _PATTERNS = regex.compile(
     r"""
     (?P<email>[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)
   | (?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["'])(?P<secret>[A-Za-z0-9+/_-]{8,})(?=["'])
+  | (?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*)(?P<secret>(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{8,})(?!\w)
+  | (?<![\w:])(?P<ipv6>(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}))(?![\w:])
+  | (?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
   | (?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)
   | (?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
   | (?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{2,5}\)[ ]?\d{2,5}(?:[ .-]\d{2,5}){1,3})(?!\w)
+  | (?<![\w.-])(?P<phone>\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}|0\d{1,4}[ /-]\d{5,8})(?![\w-]|\.\d)
   | (?<![\w.+-])(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])
   | (?<!\w)(?:(?P<male>"""
     + "|".join(_MALE)
     + r")|(?P<female>"
     + "|".join(_FEMALE)
-    + r"""))\.?[ ](?P<name>\p{Lu}[\p{L}'’-]+(?:[ ]\p{Lu}[\p{L}'’-]+){0,2})
+    + r")|(?:"
+    + "|".join(_NEUTRAL)
+    + r"""))\.?[ ](?:(?:Dr|Prof)\.?[ ])*(?P<name>\p{Lu}[\p{L}'’-]+(?:[ ]\p{Lu}[\p{L}'’-]+){0,2})
     """,
     regex.VERBOSE,
 )
-_KINDS = ("email", "secret", "ip", "ssn", "phone", "card", "name")
+_KINDS = ("email", "secret", "ip", "ipv6", "iban", "ssn", "phone", "card", "name")
 _DOMAINS_KEPT = regex.compile(r"(?:.*\.)?(?:example\.(?:com|org|net)|gmail\.com|outlook\.com|yahoo\.com|hotmail\.com)$")
 
 _DIGITS = "0123456789"
@@ -129,6 +138,10 @@ def canonical(kind: str, found: str, gender: str = "") -> str:
     """What makes two mentions the same entity."""
     if kind == "email":
         return found.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(found).exploded
+    if kind == "iban":
+        return found.replace(" ", "")
     if kind in ("phone", "card", "ssn"):
         return ("+" if found.startswith("+") else "") + "".join(c for c in found if c.isdigit())
     return f"{gender}:{found}" if kind == "name" else found
@@ -153,6 +166,18 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
             new = new[:keep] + permute(key, f"{tweak}|{new[:keep]}", new[keep:], 256)
             if private(new) == wide:
                 return ".".join(map(str, new))
+    if kind == "ipv6":  # the first group tells the scope
+        new = permute(key, f"{tweak}|{entity[:4]}", [int(c, 16) for c in entity[4:].replace(":", "")], 16)
+        return ":".join([entity[:4], *("".join(f"{v:x}" for v in new[i : i + 4]) for i in range(0, 28, 4))])
+    if kind == "iban":  # valid stays valid, by the same distance of the check digits
+        body = list(entity[4:])
+        for is_one, zero, radix in ((str.isdigit, "0", 10), (str.isalpha, "A", 26)):
+            at = [i for i, c in enumerate(entity[4:]) if is_one(c)]
+            new = permute(key, f"{tweak}|{entity[:2]}|{radix}|{at}", [ord(body[i]) - ord(zero) for i in at], radix) if at else []
+            for i, v in zip(at, new):
+                body[i] = chr(ord(zero) + v)
+        check = lambda bban: 98 - int("".join(str(int(c, 36)) for c in bban + entity[:2] + "00")) % 97
+        return f"{entity[:2]}{(check(''.join(body)) - 2 + int(entity[2:4]) - check(entity[4:])) % 97 + 2:02d}{''.join(body)}"
     if kind == "card":
         digits = [int(c) for c in entity]
         head = permute(key, tweak, digits[:-1], 10)
@@ -192,15 +217,47 @@ def render(kind: str, found: str, new: str) -> str:
     if kind in ("phone", "card", "ssn"):
         digits = iter(c for c in new if c.isdigit())
         return "".join(next(digits) if c.isdigit() else c for c in found)
+    if kind == "iban":
+        chars = iter(new)
+        return "".join(c if c == " " else next(chars) for c in found)
+    if kind == "ipv6":
+        new = str(ipaddress.IPv6Address(new)) if len(found) < 39 else new
+        return new.upper() if found.isupper() else new
     return new.partition(":")[2] if kind == "name" else new
 
 
+def _is_ipv6(found: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(found))
+    except ValueError:
+        return False
+
+
 def mentions(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, kind, found, canonical) of every entity of a text."""
+    """(start, end, kind, found, canonical) of every entity of a text, in order."""
+    found = list(_titled(text))
+    names: dict[str, str] = {}
+    for _, _, kind, name, entity in found:
+        if kind == "name":
+            names.setdefault(name, entity)
+    if names:  # repeats without a form of address, longer names first
+        bare = regex.compile(r"(?<!\w)(?:" + "|".join(map(regex.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
+        upto, more = 0, []
+        for start, end in [(m[0], m[1]) for m in found] + [(len(text), len(text))]:
+            more += [(m.start(), m.end(), "name", m[0], names[m[0]]) for m in bare.finditer(text, upto, start)]
+            upto = end
+        found = sorted(found + more)
+    yield from found
+
+
+def _titled(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """The entities that their own shape or what stands before them tells."""
     for m in _PATTERNS.finditer(text):
         for kind in _KINDS:
             if m.group(kind) is not None:
                 found = m.group(kind)
+                if kind == "ipv6" and not _is_ipv6(found):
+                    break
                 gender = "m" if m.group("male") else "f" if m.group("female") else ""
                 yield m.start(kind), m.end(kind), kind, found, canonical(kind, found, gender)
                 break
@@ -217,7 +274,7 @@ def _suspects(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
     at = np.flatnonzero(raw == 0x40)
     hit[np.searchsorted(offsets, at, side="right") - 1] = True
     data = raw.tobytes()
-    for m in re.finditer(rb"[=:]\s*[\"']|" + b"|".join(_ADDRESS_BYTES), data):
+    for m in re.finditer(rb"[=:]\s*[\"']|(?i:token|secret|passw|key)[a-z]*\s*[=:]|::|" + b"|".join(_ADDRESS_BYTES), data):
         hit[np.searchsorted(offsets, m.start(), side="right") - 1] = True
     return np.flatnonzero(hit).tolist()
 
