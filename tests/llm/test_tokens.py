@@ -105,7 +105,7 @@ def test_automaton_numbers_words():
 
 def test_encode_decode_query(spark):
     rows, whole = AWKWARD + families(4, 2, 10), Tokenizer.from_file(WORDS)
-    found = lexicon_bpe.encode_decode(frame(spark, rows), WORDS, 50, with_ids=True).collect()
+    found = lexicon_bpe.encode_decode(frame(spark, rows), WORDS, 50, with_ids=True, with_text=True).collect()
     expected = []
     for i, t in rows:
         ids = whole.encode(t or "", add_special_tokens=False).ids

@@ -163,13 +163,29 @@ def make_windows(items: list[tuple[int | None, str | None]], size: int) -> dict:
     hashes = tx.span_hash(raw, np.concatenate([[0], ends[:-1]]) if words else ends, ends)
     sort = np.argsort(hashes)
     return {
-        "hashes": hashes[sort], "numbers": (sort + 1).astype(np.int64), "groups": groups,
+        "hashes": hashes[sort], "numbers": (sort + 1).astype(np.int64), "groups": groups, "words": vocabulary,
+        "raw": raw, "starts": (ends - np.array([len(w) for w in words], np.int64))[sort], "ends": ends[sort],
         "shortest": groups[0][0] if groups else 0,
         "item_flat": np.array([i for h in held for i in h], np.int64), "item_bounds": np.concatenate([[0], np.cumsum([len(h) for h in held], dtype=np.int64)]).astype(np.int64),
         "item_ids": [i for i, _ in items],
     }
 
 
+def word_symbols(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: dict) -> np.ndarray:
+    """The number of each word in the benchmark's vocabulary, 0 for others.  A hash finds the entry
+    and its bytes decide; words that only share a hash with it are looked up by their bytes."""
+    hashes, numbers = windows["hashes"], windows["numbers"]
+    own = tx.span_hash(raw, starts, ends)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    hit = np.flatnonzero(hashes[at] == own)
+    symbol = np.zeros(len(starts), np.int64)
+    symbol[hit] = numbers[at[hit]]
+    same = tx.same_bytes(raw, starts[hit], ends[hit], windows["raw"], windows["starts"][at[hit]], windows["ends"][at[hit]])
+    for i in hit[~same].tolist():
+        symbol[i] = windows["words"].get(raw[starts[i] : ends[i]].tobytes(), 0)
+    return symbol
+
+
 def scan_slice(raw: np.ndarray, offsets: np.ndarray, windows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, rows and [start, end) of merged spans in words, rows and items hit)."""
     n = len(offsets) - 1
@@ -179,10 +195,8 @@ def scan_slice(raw: np.ndarray, offsets: np.ndarray, windows: dict) -> tuple[np.
     none = np.zeros(0, np.int64)
     if not windows["groups"] or not len(starts):
         return n_words, none, np.zeros((0, 2), np.int64), none, none
-    hashes, numbers = windows["hashes"], windows["numbers"]
-    own = tx.span_hash(raw, starts, ends)
-    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    symbol = np.where(hashes[at] == own, numbers[at], 0)
+    numbers = windows["numbers"]
+    symbol = word_symbols(raw, starts, ends, windows)
 
     # stretches of window words, cut at documents
     known = symbol > 0

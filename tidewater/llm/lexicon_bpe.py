@@ -2,8 +2,9 @@
 
 Frequent words of the corpus are compiled into a minimal acyclic automaton (shared prefixes and
 suffixes) whose accepting paths number the words; the number leads to the word's token ids.  The
-automaton is a handful of flat arrays, sent once, written by each worker into its own temporary
-folder and memory-mapped.  Words outside the lexicon are merged exactly, many at a time.
+automaton is a handful of flat arrays in one file of the shared folder, which Spark distributes to
+its executors and their workers memory-map.  Words outside the lexicon are merged exactly: short
+ones many at a time, long ones by a heap of pairs, so that no word costs more than n log n.
 
 The tokenizer file must describe a BPE model with an end-of-word suffix, a white-space splitting
 normaliser (NFC, white space, lower case) and a byte-level alphabet.  Which words are in the
@@ -17,23 +18,28 @@ columns are ignored; a text of any length is encoded whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import os
 import re
-import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import materialize
+from tidewater.llm.workspace import materialize, share_file
 
-#: Entries of the lexicon: what bounds its size.
-LEXICON_WORDS = 65_536
+#: Entries of the lexicon, and bytes of one at most: what bounds its size.
+LEXICON_WORDS, ENTRY_BYTES = 65_536, 64
+#: Words longer than this are merged one at a time, by a heap.
+LONG_WORD = 256
+#: Distinct segments that a task counts before it sends them on.
+COUNTED = 200_000
 
 
 # --- the automaton -------------------------------------------------------------------------
@@ -156,6 +162,7 @@ class Model:
         order = np.argsort(key, kind="stable")
         self.pair, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.pairs: dict | None = None
         self.strings = [self.tokens.get(i, "").encode("utf-8") for i in range(max(self.tokens) + 1)]
 
     def merge(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +214,31 @@ class Model:
         return sym[order], tx.row_bounds(word[order], n)
 
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Exact BPE of one word in n log n: the best pair, leftmost first, from a heap."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.made[self.rank].tolist())))
+        pairs, sym = self.pairs, self.inner[np.frombuffer(word, np.uint8)].tolist()
+        sym[-1] = int(self.last[word[-1]])
+        n = len(sym)
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*pairs[key], i) for i in range(n - 1) if (key := sym[i] << 32 | sym[i + 1]) in pairs]
+        heapq.heapify(heap)
+        while heap:
+            _, made, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or pairs.get(sym[i] << 32 | sym[j], (0, -1))[1] != made:
+                continue  # one of the two has been merged since
+            sym[i], sym[j], after[i] = made, -1, after[j]
+            if after[i] < n:
+                ahead[after[i]] = i
+                if (found := pairs.get(made << 32 | sym[after[i]])) is not None:
+                    heapq.heappush(heap, (*found, i))
+            if (k := ahead[i]) >= 0 and (found := pairs.get(sym[k] << 32 | made)) is not None:
+                heapq.heappush(heap, (*found, k))
+        return np.array([s for s in sym if s >= 0], np.int64)
+
+
 _PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ɏ]+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -248,7 +280,10 @@ class Encoder:
             for i in np.flatnonzero(number >= 0).tolist():
                 k = number[i]
                 out[i] = flat[bounds[k] : bounds[k + 1]]
-        rest = np.flatnonzero(number < 0)
+        long = (number < 0) & (ends - starts > LONG_WORD)
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.model.merge_long(words[i])
+        rest = np.flatnonzero((number < 0) & ~long)
         ids, bounds = self.model.merge(raw, starts[rest], ends[rest])
         for k, i in enumerate(rest.tolist()):
             out[i] = ids[bounds[k] : bounds[k + 1]]
@@ -269,7 +304,7 @@ class Encoder:
     def encode_slice(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """(ids, decoded text) of every text of a slice, as bytes."""
         starts, ends, rows = tx.spans(raw, offsets, tx.SPACE)
-        codes, first = tx.distinct(tx.span_hash(raw, starts, ends))
+        codes, first = tx.distinct_spans(raw, starts, ends)
         values = self.cache.lookup(tx.take_spans(raw, starts[first], ends[first]), self.encode_segments)
         bounds = tx.row_bounds(rows, len(offsets) - 1).tolist()
         out = []
@@ -285,22 +320,32 @@ class Encoder:
 
 
 def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All segments that may enter a lexicon, with their counts, summed over parts of a task."""
+    held: Counter = Counter()
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["segment", "n"])
+        held.clear()
+        return out
+
     for batch in batches:
         for _, _, offsets, raw in tx.slices(batch.column(0)):
             starts, ends, _ = tx.spans(raw, offsets, tx.SPACE)
-            codes, first = tx.distinct(tx.span_hash(raw, starts, ends))
-            counts = np.bincount(codes, minlength=len(first))
-            often = np.flatnonzero(counts > 1)
-            words = tx.take_spans(raw, starts[first[often]], ends[first[often]])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts[often])], names=["segment", "n"])
+            short = ends - starts <= ENTRY_BYTES
+            starts, ends = starts[short], ends[short]
+            codes, first = tx.distinct_spans(raw, starts, ends)
+            counts = np.bincount(codes, minlength=len(first)).tolist()
+            for word, n in zip(tx.take_spans(raw, starts[first], ends[first]), counts):
+                held[word] += n
+            if len(held) > COUNTED:
+                yield sent()
+    if held:
+        yield sent()
 
 
 def frequent_segments(docs: DataFrame, limit: int = LEXICON_WORDS, text_col: str = "text") -> list[bytes]:
-    """The most frequent white-space separated segments of all texts, ``limit`` at most.
-
-    A slice (2 MB of text) where a segment stands only once adds nothing to its count: the tail
-    of words seen once is most of the distinct ones and never frequent.
-    """
+    """The most frequent white-space separated segments of all texts, ``limit`` at most, each of
+    ``ENTRY_BYTES`` at most (longer ones are merged where they stand)."""
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_segments, "segment binary, n long")
     totals = materialize(counted.groupBy("segment").agg(F.sum("n").alias("n")), "segment-counts")
     # the least count class (sixteenths of a power of two) from which all words still fit
@@ -328,66 +373,57 @@ def build_lexicon(segments: list[bytes], tokenizer_path: str) -> dict[str, np.nd
     return lexicon
 
 
-_workers: dict = {}
-
+def pack_lexicon(lexicon: dict[str, np.ndarray]) -> bytes:
+    """The arrays in one file: a line of JSON (name, type, length, offset), then their bytes."""
+    fields, at = [], 0
+    for name, array in lexicon.items():
+        fields.append((name, array.dtype.str, len(array), at))
+        at += array.nbytes + -array.nbytes % 8
+    head = json.dumps(fields).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    return head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in lexicon.values())
 
-def _mapped(parts: dict[str, bytes], digest: str) -> dict[str, np.ndarray]:
-    """The lexicon's arrays, memory-mapped from this machine's temporary folder."""
-    home = os.path.join(tempfile.gettempdir(), f"lexicon-{digest}")
-    os.makedirs(home, exist_ok=True)
-    out = {}
-    for name, blob in parts.items():
-        path = os.path.join(home, f"{name}.npy")
-        if not os.path.exists(path):
-            fd, fresh = tempfile.mkstemp(dir=home)
-            with os.fdopen(fd, "wb") as f:
-                f.write(blob)
-            os.replace(fresh, path)
-        out[name] = np.load(path, mmap_mode="r")
-    return out
 
+def map_lexicon(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a packed lexicon, memory-mapped."""
+    with open(path, "rb") as f:
+        head = f.readline()
+    fields = json.loads(head)
+    return {name: np.memmap(path, kind, "r", len(head) + at, (n,)) if n else np.zeros(0, kind) for name, kind, n, at in fields}
 
-def _packed(lexicon: dict[str, np.ndarray]) -> tuple[dict[str, bytes], str]:
-    import io
 
-    parts = {}
-    for name, array in lexicon.items():
-        buffer = io.BytesIO()
-        np.save(buffer, array)
-        parts[name] = buffer.getvalue()
-    return parts, hashlib.sha256(b"".join(parts[k] for k in sorted(parts))).hexdigest()[:16]
+_workers: dict = {}
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per document: its id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also
-    ``ids`` and ``decoded``."""
-    spark = docs.sparkSession
+def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """Per document: its id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ``ids``,
+    with ``with_text`` also ``decoded``."""
     lexicon = build_lexicon(frequent_segments(docs, lexicon_words, text_col), tokenizer_path)
-    parts, digest = _packed(lexicon)
-    shared = spark.sparkContext.broadcast(parts)
+    packed = pack_lexicon(lexicon)
+    name = share_file(docs.sparkSession, f"lexicon-{hashlib.sha256(packed).hexdigest()[:16]}", packed)
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    if with_ids:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _workers.get((tokenizer_path, digest))
+        encoder = _workers.get((tokenizer_path, name))
         if encoder is None:
             _workers.clear()
-            encoder = _workers[tokenizer_path, digest] = Encoder(tokenizer_path, _mapped(shared.value, digest))
+            encoder = _workers[tokenizer_path, name] = Encoder(tokenizer_path, map_lexicon(SparkFiles.get(name)))
         for batch in batches:
             for lo, hi, offsets, raw in tx.slices(batch.column(1)):
                 ids, decoded = encoder.encode_slice(raw, offsets)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(i) // 4 for i in ids], pa.int64())]
                 columns += [pa.array([hashlib.sha256(x).hexdigest() for x in col], pa.string()) for col in (ids, decoded)]
                 if with_ids:
-                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                     bounds = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array([d.decode("utf-8") for d in decoded], pa.string())]
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                if with_text:
+                    columns.append(pa.array([d.decode("utf-8") for d in decoded], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 

@@ -131,7 +131,7 @@ def count_pieces(docs: DataFrame, first: set[bytes], continuing: set[bytes], id_
             for lo, hi, offsets, raw in tx.slices(batch.column(1)):
                 raw = tx.LOWER[raw]
                 starts, ends, rows = tx.spans(raw, offsets, tx.SPACE)
-                codes, one = tx.distinct(tx.span_hash(raw, starts, ends))
+                codes, one = tx.distinct_spans(raw, starts, ends)
                 each = piece_count(table, raw, starts[one], ends[one])
                 n = hi - lo
                 words = np.bincount(rows, minlength=n)

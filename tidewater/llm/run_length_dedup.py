@@ -171,7 +171,7 @@ class Group:
             first, count, doc, anchor, single = first[keep], count[keep], doc[keep], anchor[keep], np.zeros(len(keep), bool)
         size = count + SPAN - 1
         content = tx.span_hash(self.raw, first, first + size)
-        code, one = tx.distinct(content)
+        code, one = tx.distinct_spans(self.raw, first, first + size, content)
         least = np.full(len(one), _NO_DOC)
         np.minimum.at(least, code, self.doc_ids[doc])
         route = np.where(single[one], content[one], tx.mix(anchor[one] ^ U64(0x5851F42D4C957F2D)))
@@ -372,7 +372,7 @@ def _index(table: pa.Table) -> pa.Table:
         least = np.concatenate([p[1] for p in parts])
         raw = np.concatenate([p[2] for p in parts])
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        code, one = tx.distinct(tx.span_hash(raw, start, start + size))
+        code, one = tx.distinct_spans(raw, start, start + size)
         doc = np.full(len(one), _NO_DOC)
         np.minimum.at(doc, code, least)
         docs, bounds = stream(RunLengthIndex(raw, start[one], size[one], doc), size[one])

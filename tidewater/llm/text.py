@@ -6,6 +6,7 @@ follows the slice and not the partition.  A single text longer than a slice form
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,11 +115,12 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
 
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
+    """A 64-bit hash of each span's bytes.  It deals and sorts spans; it does not tell them apart:
+    a polynomial modulo 2**64 has texts made to collide (Thue-Morse words), see ``distinct_spans``."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
     prefix = prefix_hash(raw) if prefix is None else prefix
-    _, inverse = _power_tables(max(1, len(raw)))
+    _, inverse = _power_tables(len(raw) + 1)
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 
@@ -130,6 +132,65 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+#: Spans up to this length are compared in steps of eight bytes, all at once.
+_STEPPED = 160
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one little-endian word (zeros beyond the end)."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``raw`` holds the same bytes as its partner in ``others``."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    one = eights(raw)
+    two = one if others is raw else eights(others)
+    live = np.flatnonzero(same & (size > 0) & (size <= _STEPPED))
+    at = 0
+    while len(live):
+        keep = _LOW_BYTES[np.minimum(size[live] - at, 8)]
+        equal = (one[starts[live] + at] ^ two[other_starts[live] + at]) & keep == 0
+        same[live[~equal]] = False
+        at += 8
+        live = live[equal & (size[live] > at)]
+    for i in np.flatnonzero(same & (size > _STEPPED)).tolist():
+        same[i] = np.array_equal(raw[starts[i] : ends[i]], others[other_starts[i] : other_ends[i]])
+    return same
+
+
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each span, index of the first span of each code); one code means equal bytes.
+
+    Hashes only sort the spans into classes: every member is compared with the first of its class,
+    and those that differ get codes of their own by their bytes.
+    """
+    codes, first = distinct(span_hash(raw, starts, ends) if hashes is None else hashes)
+    again = np.flatnonzero(first[codes] != np.arange(len(codes)))
+    one = first[codes[again]]
+    other = again[~same_bytes(raw, starts[again], ends[again], raw, starts[one], ends[one])]
+    if len(other):
+        made: dict[bytes, int] = {}
+        more = []
+        for i in other.tolist():
+            body = raw[starts[i] : ends[i]].tobytes()
+            if body not in made:
+                made[body] = len(first) + len(more)
+                more.append(i)
+            codes[i] = made[body]
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return codes, first
+
+
+def word_codes(words: list[bytes]) -> list[int]:
+    """A 64-bit digest of each word, without structure: equal only for equal words, but for chance."""
+    return [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
+
+
 def take_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     data = raw.tobytes()
     return [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
@@ -141,10 +202,16 @@ def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordCache:
-    """word -> value, in two generations: memory stays bounded, frequent words stay."""
+    """word -> value, in two generations: memory stays bounded, frequent words stay.
+
+    ``limit`` bounds the bytes of a generation, reckoned as 300 a word and 4 for each of its bytes
+    (keys, values and their Python objects); words over ``LONGEST`` bytes are never kept.
+    """
+
+    LONGEST = 512
 
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int = 40 << 20):
+        self.limit, self.held, self.young, self.old = limit, 0, {}, {}
 
     def lookup(self, words: list[bytes], make) -> list:
         """Values of ``words``; ``make`` gets the list of those unknown and returns theirs."""
@@ -156,13 +223,16 @@ class WordCache:
                 v = old.get(words[i])
                 if v is not None:
                     found[i] = young[words[i]] = v
+                    self.held += 300 + 4 * len(words[i])
             missing = [i for i in missing if found[i] is None]
         if missing:
             new = [words[i] for i in missing]
             made = make(new)
-            for i, v in zip(missing, made, strict=True):
+            for i, w, v in zip(missing, new, made, strict=True):
                 found[i] = v
-            young.update(zip(new, made))
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+                if len(w) <= self.LONGEST:
+                    young[w] = v
+                    self.held += 300 + 4 * len(w)
+        if self.held > self.limit:
+            self.old, self.young, self.held = young, {}, 0
         return found

@@ -166,7 +166,7 @@ def encode_slice(raw: np.ndarray, offsets: np.ndarray, tokenizer: Encoder, cache
     n = len(offsets) - 1
     starts = cut_points(raw, offsets)
     ends = np.append(starts[1:], len(raw))
-    codes, first = tx.distinct(tx.span_hash(raw, starts, ends))
+    codes, first = tx.distinct_spans(raw, starts, ends)
 
     values = cache.lookup(tx.take_spans(raw, starts[first], ends[first]), tokenizer.encode_words) if len(first) else []
     per_doc = np.searchsorted(starts, offsets[1:])

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``.  Where it is unset, a temporary one serves a local
+    session (tests); a cluster's executors would not see it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -23,15 +29,61 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and
-    a lost executor costs a re-read instead of a recomputation."""
+    a lost executor costs a re-read instead of a recomputation.  Inside :func:`passing` the table
+    goes with the block."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized within the block are deleted at its end."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            delete_path(spark, path)
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """Tables materialized within the block outlive the :func:`passing` block around it."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        _passing.pop()
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, so any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def share_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """Put a small file into the shared folder and let Spark bring it to every executor; the name
+    under which ``SparkFiles.get`` finds it there."""
+    path = f"{shared_dir(spark)}/files/{name}"
+    target, files = _file_system(spark, path)
+    if not files.exists(target):
+        fresh, _ = _file_system(spark, f"{path}-{uuid.uuid4().hex}")
+        out = files.create(fresh)
+        out.write(content)
+        out.close()
+        files.rename(fresh, target)
+    spark.sparkContext.addFile(str(target.toString()))
+    return name
