@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of ids and decoded text."""
-    return lexicon_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).drop("decoded")
+    return lexicon_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
