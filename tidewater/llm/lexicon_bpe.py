@@ -39,7 +39,7 @@ LEXICON_WORDS, ENTRY_BYTES = 65_536, 64
 #: Words longer than this are merged one at a time, by a heap.
 LONG_WORD = 256
 #: Distinct segments that a task counts before it sends them on.
-COUNTED = 200_000
+COUNTED = 100_000
 
 
 # --- the automaton -------------------------------------------------------------------------

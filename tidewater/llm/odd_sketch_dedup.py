@@ -54,10 +54,6 @@ _B = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 _K = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
-#: Digests of words seen by this worker.
-_codes = tx.WordCache(16 << 20)
-
-
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text of each, hash of each) distinct shingle, ordered by text."""
     raw = tx.LOWER[raw]
@@ -65,8 +61,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     n_docs = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    each, one = tx.distinct_spans(raw, starts, ends)
-    word = np.array(_codes.lookup(tx.take_spans(raw, starts[one], ends[one]), tx.word_codes), np.uint64)[each]
+    word = tx.span_digest(raw, starts, ends)
     of, code = [], []
     if len(word) >= k:
         whole = np.flatnonzero(rows[k - 1 :] == rows[: len(rows) - k + 1])
