@@ -11,7 +11,8 @@ that no window holds cannot be covered, so a shard keeps only stretches of windo
 long enough for the shortest window.
 
 The benchmark side is sent to the workers in blocks of items of bounded bytes; each block is one
-narrow pass over the documents, which carry their spans from one to the next.
+narrow pass over the documents, which carry their spans from one to the next.  A benchmark of
+several blocks settles the documents after each, so that a worker holds one block and no more.
 
 Edge cases: null texts have no words; an empty benchmark leaves every document clean; a null
 item_id still marks words but is not listed; equal items are each listed; repeated rows and null
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
+from tidewater.llm.workspace import fresh_names, materialize
 
 WINDOW = 10
 #: Text of benchmark items that one pass sends to the workers.
 BLOCK_BYTES = 16 << 20
 #: Text of one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Every so many-th position of a shard is kept with the index.
 SAMPLE = 8
 
@@ -251,12 +253,9 @@ def scan_slice(raw: np.ndarray, offsets: np.ndarray, windows: dict) -> tuple[np.
 
 # --- Spark ---------------------------------------------------------------------------------
 
-#: Columns that a pass adds to; their names stay clear of those of the documents.
-_WORDS, _SPANS, _ITEMS = "__fm_words", "__fm_spans", "__fm_items"
-
-
-def _scanner(shared, text_at: int):
-    """A pass over one block: its spans and items join those that the rows carry already."""
+def _scanner(shared, text_at: int, cutting: bool):
+    """A pass over one block: its spans and items join those that the rows carry already.  With
+    ``cutting`` the texts then lose what the spans cover, and rows left without words go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
@@ -272,11 +271,33 @@ def _scanner(shared, text_at: int):
                     before[d] = merged(before[d] + spans[first[d] : first[d + 1]].tolist())
                     listed[d] = sorted({*listed[d], *(ids[k] for k in item[of[d] : of[d + 1]].tolist())} - {None})
                 columns = [*own.columns[:-3], pa.array(n_words), pa.array(before, pa.list_(pa.list_(pa.int32()))), pa.array(listed, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                if cutting:
+                    columns[text_at] = _cut(columns[text_at], raw, offsets, before)
+                out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                if cutting:
+                    out = out.filter(pa.array([not w or sum(e - s for s, e in held) < w for w, held in zip(n_words.tolist(), before)], pa.bool_()))
+                yield out
 
     return run
 
 
+def _cut(column: pa.Array, raw: np.ndarray, offsets: np.ndarray, before: list) -> pa.Array:
+    """The texts of ``column`` without the words in their spans."""
+    if not any(before):
+        return column
+    starts, ends, rows = tx.spans(tx.LOWER[raw], offsets, tx.NON_WORD)
+    first, data, texts = tx.row_bounds(rows, len(before)), raw.tobytes(), column.to_pylist()
+    for d, spans in enumerate(before):
+        if spans:
+            at, parts = int(offsets[d]), []
+            for s, e in spans:
+                parts.append(data[at : starts[first[d] + s]])
+                at = int(ends[first[d] + e - 1])
+            parts.append(data[at : int(offsets[d + 1])])
+            texts[d] = b"".join(parts).decode("utf-8", "replace")
+    return pa.array(texts, column.type)
+
+
 def merged(spans: list[list[int]]) -> list[list[int]]:
     """Spans joined where they overlap or touch, ascending."""
     out: list[list[int]] = []
@@ -288,24 +309,33 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, text_col: str) -> DataFrame:
-    """``docs`` with the number of words, merged spans (in words, end excluded) and items hit."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _marked(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, text_col: str, cutting: bool = False) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the number of words, merged spans (in words, end excluded) and items hit, and
+    the names of these three columns.
+
+    One pass over a block ends before the next begins, so the workers hold one block at a time.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(total // block_bytes) + 1
-    marked = docs.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<array<int>>"), _ITEMS: F.array().cast("array<bigint>")})
+    names = fresh_names(docs, "n_words", "spans", "items")
+    marked = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), F.array().cast("array<array<int>>"), F.array().cast("array<bigint>")))))
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        shared = docs.sparkSession.sparkContext.broadcast(make_windows([(r["item_id"], r["text"]) for r in block.collect()], size))
-        marked = marked.mapInArrow(_scanner(shared, docs.columns.index(text_col)), marked.schema)
-    return marked
+        shared = spark.sparkContext.broadcast(make_windows([(r["item_id"], r["text"]) for r in block.collect()], size))
+        marked = marked.mapInArrow(_scanner(shared, docs.columns.index(text_col), cutting and b == n_blocks - 1), marked.schema)
+        if n_blocks > 1:
+            marked = materialize(marked, f"block-{b}")
+            shared.unpersist()
+    return marked, names
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, spans (merged, in words, end excluded), items (those with a
     window in the document, ascending)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _marked(own, benchmark, size, block_bytes, "text").select("doc_id", F.col(_WORDS).alias("n_words"), F.col(_SPANS).alias("spans"), F.col(_ITEMS).alias("items"))
+    return _marked(own, benchmark, size, block_bytes, "text")[0].select("doc_id", "n_words", "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, **options) -> DataFrame:
@@ -316,36 +346,10 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, **options)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _cut(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, offsets, raw in tx.slices(batch.column(text_at), SHARD_BYTES):
-                own = batch.slice(lo, hi - lo)
-                starts, ends, rows = tx.spans(tx.LOWER[raw], offsets, tx.NON_WORD)
-                first, data, texts = tx.row_bounds(rows, hi - lo), raw.tobytes(), own.column(text_at).to_pylist()
-                for d, spans in enumerate(own.column(own.num_columns - 2).to_pylist()):
-                    if spans:
-                        at, parts = int(offsets[d]), []
-                        for s, e in spans:
-                            parts.append(data[at : starts[first[d] + s]])
-                            at = int(ends[first[d] + e - 1])
-                        parts.append(data[at : int(offsets[d + 1])])
-                        texts[d] = b"".join(parts).decode("utf-8", "replace")
-                columns = list(own.columns)
-                columns[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return run
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """``docs`` with all their columns, the covered words cut out of each text; a document that
     had words and keeps none goes."""
-    marked = _marked(docs, benchmark, size, block_bytes, text_col)
-    hit = F.aggregate(_SPANS, F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
-    left = marked.where((F.col(_WORDS) == 0) | (hit < F.col(_WORDS)))
-    cut = left.mapInArrow(_cut(docs.columns.index(text_col)), left.schema)
-    return cut.select(*docs.columns)
+    return _marked(docs, benchmark, size, block_bytes, text_col, cutting=True)[0].select(*docs.columns)
 
 
 def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
