@@ -13,14 +13,17 @@ strings with one anchor form a segment.
    smallest doc_id.  Strings around a hot anchor (more than ``HOT_SEGMENTS`` segments sent by all
    groups, or more than ``HOT_GROUPS`` groups) are dealt by their own content, so that no anchor
    gathers in one task.
-3. Each deal of segments becomes an index: the Burrows-Wheeler transform of the segments, kept as
+3. Each part of a deal of segments becomes an index: the Burrows-Wheeler transform of the segments, kept as
    runs, with the suffix sampled at run ends and the earliest document sampled at the head of each
    group of rows that agree in ``SPAN`` bytes.  All segments stream through it from their ends by
    run-length LF steps; wherever the match is ``SPAN`` long, its earliest document is read off.
 4. Groups get those documents back for their segments, mark what an earlier one has, and cut.
 
-Every deal is exact; hashes only route (40 bits and more, false hits cost work and not results)
-but for the identity of equal segments within a deal, for which 64 bits and the length stand.
+Every deal is exact: hashes only route (40 bits and more, false hits cost work and not results),
+and equal segments are told by their bytes.
+
+Scale: a deal holds about as much text as a group, so the blobs between n groups and n deals have
+1 / n of a group each; a group never sends more blobs than it has segments.
 
 Edge cases: a null text counts as empty; texts under ``SPAN`` bytes lose nothing; equal texts
 under one doc_id keep each other; a row with a null doc_id neither loses bytes nor makes others
@@ -44,13 +47,15 @@ from tidewater.llm.workspace import materialize
 SPAN = 50
 #: Length of an anchor; a string has SPAN - ANCHOR + 1 places for one.
 ANCHOR = 20
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 12 << 20
 #: Positions handled at once within a group.
 STEP = 1 << 20
+#: Indexes that a deal of segments is split into; each is built and left before the next.
+PARTS = 32
 HOT_GROUPS = 20_000
-#: Segments around one anchor that may go to one deal: the text of an average deal (an eighth of a
-#: group) in segments of full length.
-HOT_SEGMENTS = (GROUP_BYTES // 8) // (2 * SPAN - ANCHOR)
+#: Segments around one anchor that may go to one index: about the text of an average one, in
+#: segments of full length.
+HOT_SEGMENTS = (2 * GROUP_BYTES // PARTS) // (2 * SPAN - ANCHOR)
 #: Total bytes of answers up to which they are broadcast to the groups.
 BROADCAST_BYTES = 16 << 20
 
@@ -148,8 +153,8 @@ class Group:
             yield d, _zip(step.T.copy(), np.packbits(several[bounds[d] : bounds[d + 1]]), sent[bounds[d] : bounds[d + 1]])
 
     def segments(self, verdicts: list[tuple[int, bytes]], n_deals: int) -> tuple[np.ndarray, ...]:
-        """Distinct segments around repeated anchors, by deal: (deal, start, size, min doc_id) and
-        for every place its (segment, start, number of strings, document)."""
+        """Distinct segments around repeated anchors, by deal and part: (deal * PARTS + part, start,
+        size, min doc_id) and for every place its (segment, start, number of strings, document)."""
         state = np.zeros(len(self.keys), np.uint8)
         deal = (self.keys >> U64(40)).astype(np.int64)
         bounds = np.searchsorted(deal, np.arange(self.n_deals + 1))
@@ -175,7 +180,7 @@ class Group:
         least = np.full(len(one), _NO_DOC)
         np.minimum.at(least, code, self.doc_ids[doc])
         route = np.where(single[one], content[one], tx.mix(anchor[one] ^ U64(0x5851F42D4C957F2D)))
-        to = (route % U64(n_deals)).astype(np.int64)
+        to = (route % U64(n_deals)).astype(np.int64) * PARTS + ((route >> U64(48)) % U64(PARTS)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -227,19 +232,23 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table({"g": table.column(0), "deal": table.column(1), "blob": pa.array([_zip(state[a:b]) for a, b in zip(upto, upto[1:])], pa.binary())})
 
 
+def segment_blobs(group: Group, verdicts: list[tuple[int, bytes]], n_deals: int) -> Iterator[tuple[int, bytes]]:
+    """(deal, segments in each of its parts, their sizes, earliest documents and bytes)."""
+    to, start, size, least, *_ = group.segments(verdicts, n_deals)
+    bounds = np.searchsorted(to, np.arange(n_deals + 1) * PARTS)
+    for d in np.flatnonzero(np.diff(bounds)).tolist():
+        own = slice(bounds[d], bounds[d + 1])
+        yield d, _zip(np.bincount(to[own] - d * PARTS, minlength=PARTS).astype("<u4"), size[own].astype("u1"), least[own].astype("<i8"), group.raw[_ranges(start[own], size[own])])
+
+
 def _send_segments(n_deals: int, n_segment_deals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for g, docs, verdicts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     group = Group(docs.as_buffer(), n_deals)
-                    to, start, size, least, *_ = group.segments([(v["deal"], v["blob"]) for v in verdicts or []], n_segment_deals)
-                    bounds = np.searchsorted(to, np.arange(n_segment_deals + 1))
-                    deals, blobs = np.flatnonzero(np.diff(bounds)).tolist(), []
-                    for d in deals:
-                        own = slice(bounds[d], bounds[d + 1])
-                        blobs.append(_zip(size[own].astype("u1"), least[own].astype("<i8"), group.raw[_ranges(start[own], size[own])]))
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(deals), pa.int32()), pa.array(deals, pa.int32()), pa.array(blobs, pa.binary())], names=["g", "deal", "blob"])
+                    sent = list(segment_blobs(group, [(v["deal"], v["blob"]) for v in verdicts or []], n_segment_deals))
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(sent), pa.int32()), pa.array([d for d, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary())], names=["g", "deal", "blob"])
 
     return run
 
@@ -351,8 +360,8 @@ class RunLengthIndex:
 
 
 def stream(index: RunLengthIndex, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Matching statistics of all strings at once, from their ends: wherever the match reaches
-    SPAN, its earliest document.  (documents of all strings' windows in order, bounds)"""
+    """Matches of all strings at once, from their ends: wherever one reaches SPAN, its earliest
+    document.  (documents of all strings' windows in order, bounds)"""
     bounds = np.concatenate([[0], np.cumsum(sizes - SPAN + 1)])
     out = np.empty(bounds[-1], np.int64)
     rows, live = np.arange(len(sizes)), np.arange(len(sizes))
@@ -365,23 +374,37 @@ def stream(index: RunLengthIndex, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _index(table: pa.Table) -> pa.Table:
-    """For each group of a deal, the earliest document of every string of its segments."""
+    """For each group of a deal, the earliest document of every string of its segments, as runs.
+    One part of the deal after another is indexed and streamed."""
+    sent = [_unzip(b.as_buffer(), "<u4", "u1", "<i8", "u1") for b in table.column(2).combine_chunks()]
+    n = len(sent)
+    upto = [np.concatenate([[0], np.cumsum(counts.astype(np.int64))]) for counts, *_ in sent]
+    at = [np.concatenate([[0], np.cumsum(size.astype(np.int64))]) for _, size, _, _ in sent]
+    runs: list[list[np.ndarray]] = [[] for _ in sent]
+    docs: list[list[np.ndarray]] = [[] for _ in sent]
     with np.errstate(over="ignore"):
-        parts = [_unzip(b.as_buffer(), "u1", "<i8", "u1") for b in table.column(2).combine_chunks()]
-        size = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        least = np.concatenate([p[1] for p in parts])
-        raw = np.concatenate([p[2] for p in parts])
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        code, one = tx.distinct_spans(raw, start, start + size)
-        doc = np.full(len(one), _NO_DOC)
-        np.minimum.at(doc, code, least)
-        docs, bounds = stream(RunLengthIndex(raw, start[one], size[one], doc), size[one])
-    upto, blobs = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), []
-    for a, b in zip(upto, upto[1:]):
-        own = code[a:b]
-        flat = docs[_ranges(bounds[own], bounds[own + 1] - bounds[own])]
-        change = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        blobs.append(_zip(np.diff(np.append(change, len(flat))).astype("<u4"), flat[change].astype("<i8")))
+        for k in range(PARTS):
+            own = [slice(u[k], u[k + 1]) for u in upto]
+            size = np.concatenate([x[1][o] for x, o in zip(sent, own)]).astype(np.int64)
+            if not len(size):
+                continue
+            least = np.concatenate([x[2][o] for x, o in zip(sent, own)])
+            raw = np.concatenate([x[3][a[o.start] : a[o.stop]] for x, o, a in zip(sent, own, at)])
+            start = np.concatenate([[0], np.cumsum(size)])[:-1]
+            code, one = tx.distinct_spans(raw, start, start + size)
+            doc = np.full(len(one), _NO_DOC)
+            np.minimum.at(doc, code, least)
+            found, bounds = stream(RunLengthIndex(raw, start[one], size[one], doc), size[one])
+            here = np.concatenate([[0], np.cumsum([o.stop - o.start for o in own])])
+            for i in range(n):
+                mine = code[here[i] : here[i + 1]]
+                if not len(mine):
+                    continue
+                flat = found[_ranges(bounds[mine], bounds[mine + 1] - bounds[mine])]
+                change = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                runs[i].append(np.diff(np.append(change, len(flat))))
+                docs[i].append(flat[change])
+    blobs = [_zip(np.concatenate(r).astype("<u4"), np.concatenate(d).astype("<i8")) for r, d in zip(runs, docs)]
     return pa.table({"g": table.column(0), "deal": table.column(1), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -400,30 +423,42 @@ def _cut(n_deals: int, n_segment_deals: int, with_text: bool):
     return run
 
 
+def _stretches(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes, summed in ``upto``, come to about ``most`` each."""
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def cut_group(group: Group, verdicts: list, answers: list, n_segment_deals: int, with_text: bool) -> pa.RecordBatch:
     n = len(group.raw)
-    cover = np.zeros(n + 1, np.int64)
+    cover = np.zeros(n + 1, np.int32)
     if answers:
         _, _, size, _, place, first, count, doc = group.segments([(v["deal"], v["blob"]) for v in verdicts], n_segment_deals)
         parts = [np.repeat(docs, runs) for runs, docs in (_unzip(a["blob"], "<u4", "<i8") for a in sorted(answers, key=lambda a: a["deal"]))]
         earliest, upto = np.concatenate(parts), np.concatenate([[0], np.cumsum(size - SPAN + 1)])
-        gone = earliest[_ranges(upto[place], count)] < np.repeat(group.doc_ids[doc], count)
-        at = _ranges(first, count)[gone]
-        cover = np.bincount(at, minlength=n + 1)
-        cover -= np.bincount(at + SPAN, minlength=n + 1)
+        strings = np.cumsum(count)
+        for lo, hi in _stretches(strings, STEP):  # neighbours in the text, a bounded number at once
+            gone = earliest[_ranges(upto[place[lo:hi]], count[lo:hi])] < np.repeat(group.doc_ids[doc[lo:hi]], count[lo:hi])
+            at = _ranges(first[lo:hi], count[lo:hi])[gone]
+            if len(at):
+                base, top = int(at.min()), int(at.max()) + SPAN + 1
+                cover[base:top] += (np.bincount(at - base, minlength=top - base) - np.bincount(at + SPAN - base, minlength=top - base)).astype(np.int32)
     removed = np.cumsum(cover, out=cover)[:-1] > 0
-    upto = np.concatenate([[0], np.cumsum(removed)])
+    upto = np.concatenate([[0], np.cumsum(removed, dtype=np.int32)])
     new = removed.copy()
     new[1:] &= ~removed[:-1]
     full = group.offsets[:-1][np.diff(group.offsets) > 0]
     new[full] = removed[full]
-    spans = np.concatenate([[0], np.cumsum(new)])
+    spans = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])
     lo, hi = group.offsets[:-1], group.offsets[1:]
     kept_at = group.offsets - upto[group.offsets]
     kept = group.raw[~removed].tobytes()
     pieces = [kept[a:b] for a, b in zip(kept_at.tolist(), kept_at[1:].tolist())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(group.doc_ids, pa.int64(), mask=group.has_id == 0), pa.array(hi - lo), pa.array(upto[hi] - upto[lo]), pa.array(spans[hi] - spans[lo]), pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string()), pa.array(pieces if with_text else [None] * len(pieces), pa.binary())],
+        [pa.array(group.doc_ids, pa.int64(), mask=group.has_id == 0), pa.array(hi - lo), pa.array((upto[hi] - upto[lo]).astype(np.int64)), pa.array((spans[hi] - spans[lo]).astype(np.int64)), pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string()), pa.array(pieces if with_text else [None] * len(pieces), pa.binary())],
         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
     )
 
@@ -441,7 +476,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = int(total // GROUP_BYTES) + 1
-    n_deals, n_segment_deals = 2 * n_groups, 8 * n_groups
+    n_deals, n_segment_deals = n_groups // 2 + 1, n_groups
     tie = F.xxhash64("text")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", tie), F.lit(n_groups)).cast("int").alias("g"), "doc_id", "text", tie.alias("tie"))
     groups = materialize(dealt.groupBy("g").applyInArrow(_pack, "g int, docs binary"), "groups")
