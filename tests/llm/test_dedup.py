@@ -80,7 +80,7 @@ def _pages(spark):
 
 def test_boilerplate_lines(spark):
     pages = _pages(spark)
-    out = site_lines.drop_boilerplate(pages, F.col("h"), ratio=0.5, least_pages=3)
+    out = site_lines.drop_boilerplate(pages, F.col("h"), ratio=0.5)
     assert out.columns == pages.columns
     texts = {r.page_id: r.text for r in out.collect()}
     assert texts[0] == "News 0\n\nbody 0 text"
@@ -89,7 +89,7 @@ def test_boilerplate_lines(spark):
     shuffled = site_lines.BROADCAST_LINES
     site_lines.BROADCAST_LINES = -1
     try:
-        assert {r.page_id: r.text for r in site_lines.drop_boilerplate(pages, F.col("h"), ratio=0.5, least_pages=3).collect()} == texts
+        assert {r.page_id: r.text for r in site_lines.drop_boilerplate(pages, F.col("h"), ratio=0.5).collect()} == texts
     finally:
         site_lines.BROADCAST_LINES = shuffled
     assert site_lines.drop_boilerplate(pages.where("false"), F.col("h")).count() == 0

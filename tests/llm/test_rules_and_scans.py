@@ -6,9 +6,12 @@ from tests.llm.corpora import AWKWARD, frame, plain_words, repeat_words, space_w
 from tidewater.llm import fm_decontaminate, license_vote, rule_cascade, surrogates
 
 
+ALL_RULES = rule_cascade.BASE_RULES + rule_cascade.OWN_RULES
+
+
 def test_measures(spark):
     rows = AWKWARD + [(20, "a b c d e " * 3 + "z y x w v u t s r q"), (21, "\n".join(["same line here"] * 4 + [f"line {i} is its own" for i in range(12)]))]
-    found = {repr(tuple(r)) for r in rule_cascade.measure(frame(spark, rows), list(rule_cascade.rules(rule_cascade.F.lit("")))).drop("kept").collect()}
+    found = {repr(tuple(r)) for r in rule_cascade.measure(frame(spark, rows), ALL_RULES).drop("kept").collect()}
     expected = set()
     for i, t in rows:
         words, lines = space_words(t), [x for x in (t or "").split("\n") if space_words(x)]
@@ -20,11 +23,12 @@ def test_measures(spark):
 def test_cascade_keeps_what_all_rules_pass(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(1, good), (2, "short"), (3, "same five words again here " * 20), (4, " ".join(f"w{i}***" for i in range(50))), (5, "\n".join(["one line of it all"] * 9)), (6, None)]
+    rows += [(7, " ".join(f"{i}.{i}" for i in range(40))), (8, good + " x" * 0 + "".join(f" {c * 50}" for c in "abcdefghijk")), (9, f"{good} Lorem ipsum dolor")]
     docs = frame(spark, rows)
-    kept = rule_cascade.keep_good(docs, sample_rows=4)
+    kept = rule_cascade.keep_good(docs, sample_bytes=400)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
     order = rule_cascade.cascade_order(docs)
-    assert sorted(order) == sorted(rule_cascade.rules(rule_cascade.F.lit("")))
+    assert sorted(order) == sorted(ALL_RULES)
     verdicts = {r.doc_id: r.kept for r in rule_cascade.measure(docs, order).collect()}
     assert [i for i, k in verdicts.items() if k] == [1]
     assert rule_cascade.keep_good(docs.where("false")).count() == 0
@@ -74,7 +78,7 @@ def test_license_phrases_and_passages(spark):
 def test_surrogates_keep_type_format_and_identity(spark):
     text = "Write to jo.30@mail1.example.com, call +1 (788) 555-2942 or Mrs. Anna Schmidt; ip 217.75.41.129, card 4539 1488 0343 6467, token = \"b44e15e09fd311c3\"."
     rows = [*AWKWARD, (50, text), (51, "Again Jo.30@mail1.example.com and Mrs. Schmidt, +1 788 555 2942."), (52, "clean text 12 of 2024.")]
-    found = {r.doc_id: r for r in surrogates.replace_entities(frame(spark, [r for r in rows if r[0] is not None])).collect()}
+    found = {r.doc_id: r for r in surrogates.replace_entities(frame(spark, [r for r in rows if r[0] is not None]), b"k").collect()}
     out, again = found[50].text, found[51].text
     for secret in ("jo.30", "555-2942", "Anna", "Schmidt", "217.75.41.129", "4539 1488", "b44e15e0"):
         assert secret not in out

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 Within each host, the pages that contain a line are divided by the host's pages; lines above a
-boilerplate ratio are dropped from all its pages.  A page counts a line once.
+boilerplate ratio are dropped from all its pages.  A page counts a line once.  A line that stands
+on one page only is no repeat, whatever its share of a tiny host.
 
 Scale: lines are counted by (host, hash of line) with partial sums before the shuffle, so neither
 a hot host nor a hot line gathers in one task.  A host has fewer than (its mean distinct lines a
@@ -19,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.workspace import materialize
+from tidewater.llm.workspace import fresh_names, materialize
 
 RATIO = 0.2
-#: Pages that contain a boilerplate line at least: a ratio says little on a tiny host.
-LEAST_PAGES = 5
 #: Boilerplate lines (8 bytes each, beside their host's name) up to which the lists are broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -40,35 +39,50 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.array_distinct(lines), lambda x: F.xxhash64(x))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line): hashes of the boilerplate lines of ``pages(host, text)``."""
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = pages.select("host", F.explode(line_hashes(F.col("text"))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    totals = totals.withColumnRenamed("host", "total_host")
+def least_share(n: Column, pages: Column, z: float) -> Column:
+    """The share ``n / pages``, or with ``z`` > 0 the lower end of its Wilson interval: what a
+    count of few pages vouches for."""
+    if not z:
+        return n / pages
+    spread = F.sqrt(n * (pages - n) / pages + z * z / 4)
+    return (n + z * z / 2 - z * spread) / (pages + z * z)
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, z: float = 0.0, distinct_pages: bool = False) -> DataFrame:
+    """(host, line): hashes of the boilerplate lines of ``pages(host, text)``: those on more than
+    ``ratio`` of the host's pages (see :func:`least_share`).  A line on one page only repeats
+    nothing and is none.  With ``distinct_pages`` equal texts of a host are one page, so that
+    copies of a page do not make boilerplate of it."""
+    lined = pages.select("host", line_hashes(F.col("text")).alias("lines"), F.xxhash64("text").alias("page"))
+    if distinct_pages:
+        lined = lined.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    totals = lined.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "total_host")
+    counts = lined.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = counts.join(totals, counts["host"].eqNullSafe(totals["total_host"]))
-    return joined.where(F.col("n") > F.col("pages") * ratio).select("host", "line")
+    return joined.where(least_share(F.col("n"), F.col("pages"), z) > ratio).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
-    """``docs`` with the boilerplate lines of each host taken out of ``text_col``; with ``counts``
-    also ``__line_host``, ``__line_count`` and ``__line_dropped`` (lines with content, before and dropped)."""
+def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, z: float = 0.0, distinct_pages: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the boilerplate lines of each host (see :func:`boilerplate`) taken out of
+    ``text_col``; ``counts`` names two columns to add, the lines with content before and those
+    dropped."""
     pages = docs.select(host.alias("host"), F.col(text_col).alias("text"))
-    found = materialize(boilerplate(pages, ratio, least_pages), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_set("line").alias("__line_list")).withColumnRenamed("host", "__line_list_host")
+    found = materialize(boilerplate(pages, ratio, z, distinct_pages), "boilerplate")
+    site, listed, listed_site = fresh_names(docs, "site", "listed", "listed_site")
+    lists = found.groupBy("host").agg(F.collect_set("line").alias(listed)).withColumnRenamed("host", listed_site)
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    marked = docs.withColumn("__line_host", host)
-    joined = marked.join(lists, marked["__line_host"].eqNullSafe(lists["__line_list_host"]), "left").drop("__line_list_host")
+    marked = docs.withColumn(site, host)
+    joined = marked.join(lists, marked[site].eqNullSafe(lists[listed_site]), "left")
     text, lines = F.col(text_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    drop = lambda line: F.array_contains("__line_list", F.xxhash64(trimmed(line)))
+    drop = lambda line: F.array_contains(listed, F.xxhash64(trimmed(line)))
     kept = F.array_join(F.filter(lines, lambda line: ~drop(line)), "\n")
-    cleaned = F.when(F.col("__line_list").isNull() | text.isNull(), text).otherwise(kept)
+    columns = {text_col: F.when(F.col(listed).isNull() | text.isNull(), text).otherwise(kept)}
     if counts:
         full = F.filter(lines, lambda line: trimmed(line) != "")
-        dropped = F.when(F.col("__line_list").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, drop)))
-        joined = joined.withColumns({"__line_count": F.size(full).cast("long"), "__line_dropped": dropped.cast("long")})
-    out = joined.withColumn(text_col, cleaned).drop("__line_list")
-    return out if counts else out.drop("__line_host")
+        dropped = F.when(F.col(listed).isNull(), F.lit(0)).otherwise(F.size(F.filter(full, drop)))
+        columns |= {counts[0]: F.size(full).cast("long"), counts[1]: dropped.cast("long")}
+    return joined.withColumns(columns).drop(site, listed, listed_site)
 
 
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -91,8 +105,8 @@ def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_id, host, n_lines, n_dropped and the SHA-256 of what is kept."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("site"), visible_lines(F.col("html")).alias("text"))
-    cleaned = drop_boilerplate(texts, F.col("site"), counts=True)
-    return cleaned.select("page_id", F.col("site").alias("host"), F.col("__line_count").alias("n_lines"), F.col("__line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    cleaned = drop_boilerplate(texts, F.col("site"), counts=("n_lines", "n_dropped"))
+    return cleaned.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = rf"""
@@ -106,7 +120,7 @@ WITH t AS (
 ), totals AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
 flagged AS (
   SELECT l.host, trimmed FROM l JOIN totals ON totals.host IS NOT DISTINCT FROM l.host WHERE trimmed <> ''
-  GROUP BY l.host, trimmed, pages HAVING count(DISTINCT r) >= {LEAST_PAGES} AND count(DISTINCT r) > pages * {RATIO}::DOUBLE
+  GROUP BY l.host, trimmed, pages HAVING count(DISTINCT r) > 1 AND count(DISTINCT r) > pages * {RATIO}::DOUBLE
 )
 SELECT any_value(l.page_id) AS page_id, any_value(l.host) AS host, count(*) FILTER (WHERE l.trimmed <> '')::BIGINT AS n_lines,
        count(f.trimmed)::BIGINT AS n_dropped,
