@@ -17,6 +17,8 @@ from tidewater.llm.workspace import materialize
 #: pages; a source mixes many hosts and templates, each on a small part of its pages, while running
 #: text hardly says the same whole line on one page in twenty.
 SOURCE_RATIO = 0.05
+#: A line of a small source goes only if its share exceeds the ratio with this many deviations.
+SOURCE_Z = 1.96
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; a text left blank goes."""
-    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), ratio=SOURCE_RATIO)
+    """Texts without the boilerplate lines of their source; a text left blank goes.  Copies count as
+    one page: they are the next stage's, which keeps one of them."""
+    cleaned = site_lines.drop_boilerplate(docs, F.col("source"), ratio=SOURCE_RATIO, z=SOURCE_Z, distinct_pages=True)
     return cleaned.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
