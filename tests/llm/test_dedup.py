@@ -29,7 +29,7 @@ def test_no_documents(spark):
     assert run_length_dedup.remove_repeats(none).count() == 0
 
 
-def test_odd_sketch_follows_similarity():
+def test_odd_sketch_follows_similarity(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in rng.integers(0, 9000, 500)]
     near, far = list(words), list(words)
@@ -42,8 +42,9 @@ def test_odd_sketch_follows_similarity():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([" ".join(t) for t in (words, near, far)])], names=["doc_id", "text"])
     out = next(iter(odd_sketch_dedup._signatures(3)(iter([batch]))))
     sketch = np.array(out.column(5).to_pylist(), np.int64).view(np.uint64)
-    bits = lambda a, b: int(np.bitwise_count(sketch[a] ^ sketch[b]).sum())
-    assert bits(0, 1) <= odd_sketch_dedup.MOST_XOR_BITS < bits(0, 2)
+    frame_ = spark.createDataFrame([([int(x) for x in sketch[0].view(np.int64)], [int(x) for x in sketch[k].view(np.int64)]) for k in (0, 1, 2)], "a array<long>, b array<long>")
+    same, near, far = (r[0] for r in frame_.select(odd_sketch_dedup.estimate("a", "b")).collect())
+    assert same == 1 and 0.75 < near < 1 and far < odd_sketch_dedup.LEAST_ESTIMATE
 
 
 @pytest.mark.parametrize("hot", [0, 1, 10**6])
@@ -51,7 +52,6 @@ def test_long_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(run_length_dedup, "GROUP_BYTES", 6_000)
     monkeypatch.setattr(run_length_dedup, "STEP", 700)
     monkeypatch.setattr(run_length_dedup, "HOT_GROUPS", hot)
-    monkeypatch.setattr(run_length_dedup, "BROADCAST_BYTES", 0 if hot else 1 << 20)
     rows = families(7, 3, 8) + AWKWARD + [(i, "éa " * 40 + "the end") for i in (501, 502)]
     found = run_length_dedup.remove_repeats(frame(spark, rows)).collect()
     assert sorted(map(tuple, found), key=repr) == long_repeats(rows)

@@ -37,7 +37,9 @@ def test_segments_encode_as_in_context():
             assert ids[bounds[k] : bounds[k + 1]].tolist() == expected[k].ids + [0]
 
 
-def test_store_round_trip(spark, tmp_path):
+def test_store_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_DOCS", 20)
+    monkeypatch.setattr(token_store, "FAN", 3)
     rows = AWKWARD + families(3)
     whole = Tokenizer.from_file(BYTES)
     path = str(tmp_path / "store")
@@ -54,18 +56,30 @@ def test_store_round_trip(spark, tmp_path):
     some = spark.createDataFrame([(8,), (10,)], "doc_id long")
     assert {r.doc_id: r.ids for r in token_store.read_ids(spark, path, some).collect()} == {i: ids[unique[i]] for i in (8, 10)}
     manifest = spark.read.parquet(f"{path}/manifest").collect()
-    assert sum(m.n_docs for m in manifest) == len(rows) and sum(m.n_tokens for m in manifest) == sum(r.n_tokens for r in found)
+    for level in {m.level for m in manifest}:
+        assert sum(m.n_docs for m in manifest if m.level == level) == len(rows) and sum(m.n_tokens for m in manifest if m.level == level) == sum(r.n_tokens for r in found)
+    assert max(m.level for m in manifest) >= 2 and sum(m.level == max(m.level for m in manifest) for m in manifest) == 1
+    recipes = spark.read.parquet(f"{path}/recipes")
+    assert [r.start for r in recipes.orderBy("part", "start").collect()] == [r.start for r in found]
 
 
-def test_damage_is_seen(spark, tmp_path):
-    path, broken = str(tmp_path / "store"), str(tmp_path / "broken")
+def test_damage_is_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_DOCS", 5)
+    path = str(tmp_path / "store")
     token_store.write_store(frame(spark, AWKWARD), path, BYTES)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    bad = chunks.where("n < 100")  # the long chunks are lost
-    bad.write.parquet(f"{broken}/chunks")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{broken}/recipes")
-    verified = {r.doc_id: r.verified for r in token_store.read_digest(spark, broken).collect()}
-    assert not verified[10] and verified[5]
+    chunks, recipes, manifest = (spark.read.parquet(f"{path}/{name}") for name in ("chunks", "recipes", "manifest"))
+
+    def verified(name, chunks, recipes):
+        for part, rows in (("chunks", chunks), ("recipes", recipes), ("manifest", manifest)):
+            rows.write.parquet(f"{tmp_path}/{name}/{part}")
+        return {r.doc_id: r.verified for r in token_store.read_digest(spark, f"{tmp_path}/{name}").collect()}
+
+    lost = verified("lost", chunks.where("n < 100"), recipes)  # the long chunks are lost
+    assert not lost[10] and lost[5]
+    part = recipes.where("doc_id = 12").first()["part"]
+    beside = {r.doc_id for r in recipes.where(f"part = {part}").collect()} - {12}
+    cut = verified("cut", chunks, recipes.where("NOT doc_id <=> 12"))  # a recipe is lost: its part does not hold
+    assert beside and not any(cut[i] for i in beside) and cut[1] and 12 not in cut
 
 
 def test_empty_store(spark, tmp_path):

@@ -61,3 +61,63 @@ def test_surrogates_of_more_shapes(spark):
     first, again = found[9].text.removeprefix("Mrs. ").split(" came. ")
     assert again == f"{first} left, Annabel stayed." and found[9].n_entities == 2
     assert found[11].text == rows[10][1] and found[12].text == "token=a1"
+
+
+def test_licenses_belong_to_rows(spark):
+    from tidewater.llm import license_vote
+
+    mit = "Released under the MIT License"
+    gpl = next(t for label, t in license_vote.TEMPLATES if label == "gpl-3.0" and len(t) > 100)
+    lgpl = next(t for label, t in license_vote.TEMPLATES if label == "lgpl-2.1")
+    rows = [(None, "nothing of the kind here"), (None, "Licensed under CC BY-NC 4.0"), (1, mit), (1, "other text"), (2, "worK under the Key"), (3, gpl), (4, f"{gpl} and then {lgpl}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = {(r.doc_id, r.n_words): r for r in license_vote.scan(docs).collect()}
+    assert found[None, 5].labels == "" and found[None, 5].score == 0 and found[None, 7].labels == "cc-by,cc-by-nc-4.0"
+    assert found[1, 5].labels == "mit" and found[1, 2].labels == ""
+    assert [r.labels for (i, _), r in found.items() if i == 3] == ["gpl,gpl-3.0"]  # its relatives cover less of it
+    assert [r.labels for (i, _), r in found.items() if i == 4] == ["gpl,gpl-3.0,lgpl-2.1"]
+    own = spark.createDataFrame([("mine", "nothing of the kind here")], "label string, text string")
+    assert {r.labels for r in license_vote.scan(docs.where("doc_id IS NULL"), own).collect()} == {"mine", "cc-by"}
+    few = license_vote.FILTER_GRAMS, license_vote.BROADCAST_GRAMS
+    license_vote.FILTER_GRAMS = license_vote.BROADCAST_GRAMS = -1
+    try:
+        again = {(r.doc_id, r.n_words): r for r in license_vote.scan(docs).collect()}
+    finally:
+        license_vote.FILTER_GRAMS, license_vote.BROADCAST_GRAMS = few
+    assert again == found
+    assert {r.labels for r in license_vote.scan(docs, []).collect()} == {"", "cc-by", "mit", "gpl"}
+
+
+def test_lines_of_a_small_host(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.llm import site_lines
+
+    rows = [(0, "h", "menu\none"), (1, "h", "menu\ntwo"), (2, "g", "alone"), (3, "k", "same\nwords"), (4, "k", "same\nwords")]
+    docs = spark.createDataFrame(rows, "id long, host string, text string")
+    drop = lambda **more: {r.id: r.text for r in site_lines.drop_boilerplate(docs, F.col("host"), **more).collect()}
+    assert drop() == {0: "one", 1: "two", 2: "alone", 3: "", 4: ""}
+    assert drop(distinct_pages=True) == {0: "one", 1: "two", 2: "alone", 3: "same\nwords", 4: "same\nwords"}
+    assert drop(ratio=0.4, z=1.96) == {0: "menu\none", 1: "menu\ntwo", 2: "alone", 3: "same\nwords", 4: "same\nwords"}
+
+
+def test_blocks_of_a_benchmark(spark):
+    from tests.llm.corpora import window_hits
+    from tidewater.llm import fm_decontaminate
+
+    items = [(i, f"word{i} word{i + 1} word{i + 2}") for i in range(12)] + [(3, "word3 word4 word5")] * 5
+    docs = [(1, "word3 word4 word5 x word9 word10 word11"), (2, None), (3, "x")]
+    found = fm_decontaminate.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=40).collect()
+    assert sorted(map(tuple, found), key=repr) == window_hits(docs, items)
+    cut = fm_decontaminate.clean(spark.createDataFrame([(1, docs[0][1], 5)], "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string"), 3, block_bytes=40)
+    assert [tuple(r) for r in cut.collect()] == [(1, " x ", 5)] and cut.columns == ["doc_id", "text", "n_words"]
+
+
+def test_hot_hubs_are_salted(spark, monkeypatch):
+    from tests.llm.corpora import families, near_components
+    from tidewater.llm import odd_sketch_dedup
+
+    monkeypatch.setattr(odd_sketch_dedup, "SALT_FROM", 3)
+    rows = families(5, 1, 30)
+    found = odd_sketch_dedup.find_duplicates(frame(spark, rows), 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == near_components(rows, 3, 85)

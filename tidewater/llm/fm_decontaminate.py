@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import fresh_names, materialize
+from tidewater.llm.workspace import fresh_names, map_arrow, materialize
 
 WINDOW = 10
 #: Text of benchmark items that one pass sends to the workers.
@@ -324,7 +324,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int,
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         shared = spark.sparkContext.broadcast(make_windows([(r["item_id"], r["text"]) for r in block.collect()], size))
-        marked = marked.mapInArrow(_scanner(shared, docs.columns.index(text_col), cutting and b == n_blocks - 1), marked.schema)
+        marked = map_arrow(marked, _scanner(shared, docs.columns.index(text_col), cutting and b == n_blocks - 1), marked.schema)
         if n_blocks > 1:
             marked = materialize(marked, f"block-{b}")
             shared.unpersist()

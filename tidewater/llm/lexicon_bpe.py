@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import materialize, share_file
+from tidewater.llm.workspace import map_arrow, materialize, share_file
 
 #: Entries of the lexicon, and bytes of one at most: what bounds its size.
 LEXICON_WORDS, ENTRY_BYTES = 65_536, 64
@@ -346,7 +346,7 @@ def _count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def frequent_segments(docs: DataFrame, limit: int = LEXICON_WORDS, text_col: str = "text") -> list[bytes]:
     """The most frequent white-space separated segments of all texts, ``limit`` at most, each of
     ``ENTRY_BYTES`` at most (longer ones are merged where they stand)."""
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_segments, "segment binary, n long")
+    counted = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), _count_segments, "segment binary, n long")
     totals = materialize(counted.groupBy("segment").agg(F.sum("n").alias("n")), "segment-counts")
     # the least count class (sixteenths of a power of two) from which all words still fit
     level = F.floor(F.log2("n") * 16)
@@ -424,7 +424,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEX
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, out)
 
 
 def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

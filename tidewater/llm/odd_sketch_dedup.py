@@ -35,13 +35,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import materialize
+from tidewater.llm.workspace import lasting, map_arrow, materialize, passing
 
 ROWS, BANDS = 3, 20
 SKETCH_BITS = 256
-#: XOR bits above which a pair is dropped: 27 of 60 samples differ, where at similarity 0.8 the
-#: expected number is 12 (probability below 1e-5, and below 1e-8 at 0.85).
-MOST_XOR_BITS = 54
+#: Similarity estimated by the sketches below which a pair is dropped.  At 0.41 some 54 of the 256
+#: bits differ, as from 27 differing samples of 60; at a true similarity of 0.8 the expected number
+#: is 12 (27 or more with probability below 1e-5, and below 1e-8 at 0.85).
+LEAST_ESTIMATE = 0.41
+#: Pairs with one hub from which on they are dealt out, so many to a copy of the hub's set.
+SALT_FROM = 1_000
 #: Sets of one block, and elements multiplied at once, in the exact search.
 BLOCK, STRIP = 512, 1024
 #: Ids (8 bytes each) up to which a list is broadcast.
@@ -141,13 +144,20 @@ def _xor_bits(a: str, b: str) -> Column:
     return total
 
 
+def estimate(a: str, b: str) -> Column:
+    """The similarity that two odd sketches tell: of 2d elements in which the samples differ, an
+    expected (1 - (1 - 2 / bits) ** 2d) / 2 of the bits are odd; solved for d / samples."""
+    share = F.least(_xor_bits(a, b) * 2.0 / SKETCH_BITS, F.lit(1 - 1e-9))
+    return 1 + F.log(1 - share) * (SKETCH_BITS / 2) / (2 * ROWS * BANDS)
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and odd sketches allow the similarity."""
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     joined = pairs.join(one, "a").join(two, "b")
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    near = joined.where(sized & (_xor_bits("ka", "kb") <= MOST_XOR_BITS))
+    near = joined.where(sized & (estimate("ka", "kb") >= LEAST_ESTIMATE))
     return near.select("a", "b", F.lit(False).alias("star"))
 
 
@@ -162,10 +172,14 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     and ``room`` (how many common elements ``take`` still reaches)."""
     involved = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "involved")
     some = docs.join(_small(involved), docs["doc_id"] == involved["cid"], "left_semi").select("doc_id", "text")
-    sets = materialize(some.mapInArrow(_sets(k), "cid long, members array<long>"), "sets")
+    sets = materialize(map_arrow(some, _sets(k), "cid long, members array<long>"), "sets")
     one = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b")
+    # a hub of many pairs has copies of its set, each for a share of them
+    heavy = _small(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_FROM).cast("int").alias("salts")).where("salts > 1"))
+    dealt = pairs.join(heavy, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = two.join(heavy, "b", "left").select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    joined = dealt.join(one, "a").join(copies, ["b", "salt"]).drop("salt")
     joined = joined.withColumn("common", F.array_intersect("sa", "sb"))
     both, na, nb = F.size("common"), F.size("sa"), F.size("sb")
     linked = both * 100 >= (na + nb - both) * percent
@@ -191,11 +205,12 @@ def _rest(held: DataFrame, percent: int) -> DataFrame:
     ranked = beyond.join(counts, ["hub", "e"]).withColumn("at", F.row_number().over(rarest))
     outer = ranked.where("at <= take AND lo <> hi").select("hub", "a")
     reaching = held.where("room > 0")
-    inner = reaching.where((F.col("n") - F.size("outside")) * (100 + percent) >= 2 * percent * F.col("n")).select("hub").distinct()
-    open_ = outer.union(reaching.join(inner, "hub").select("hub", "a")).distinct()
+    inner = materialize(reaching.where((F.col("n") - F.size("outside")) * (100 + percent) >= 2 * percent * F.col("n")).select("hub").distinct(), "inner-hubs")
+    open_ = outer.union(reaching.join(_small(inner), "hub").select("hub", "a")).distinct()
     members = materialize(held.join(open_, ["hub", "a"]).select("hub", "a", "ca", "n", F.size("outside").alias("x"), F.size("missing").alias("m"), F.concat("outside", "missing").alias("delta")), "open-members")
     groups = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("hub", "blocks")
-    dealt = members.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    groups = materialize(groups, "open-groups")
+    dealt = members.join(_small(groups), "hub").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = spread.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "ca", "n", "x", "m", "delta")
     return paired.groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
@@ -258,8 +273,15 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame
 
 def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    with passing(docs.sparkSession):  # the tables of the way there go with it
+        found = _find(docs, k, percent, id_col, text_col)
+        with lasting():
+            return materialize(found, "duplicates")
+
+
+def _find(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signatures(k), _SIGNATURE), "signatures")
+    signed = materialize(map_arrow(docs, _signatures(k), _SIGNATURE), "signatures")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     grouped = own.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"))
     classes = materialize(grouped.select(F.col("x.doc_id").alias("cid"), F.col("n_shingles").alias("n"), "f1", "f2", F.col("x.bands").alias("bands"), F.col("x.sketch").alias("sketch")), "classes")
@@ -286,7 +308,8 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     held = materialize(_labelled(_labelled(starred.select("a", "b"), labels, "a", "ca"), labels, "b", "cb"), "held")
     left = held.where("ca <> cb").select("a", "b").join(weight.withColumnRenamed("cid", "a"), "a")
     second = left.groupBy("b").agg(F.max(F.struct("weight", (-F.col("a")).alias("c"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", (-F.col("x.c")).alias("hub"))
-    more = left.join(second, "b").where("a <> hub").select("a", F.col("hub").alias("b")).distinct()
+    second = materialize(second, "second-hubs")
+    more = left.join(_small(second), "b").where("a <> hub").select("a", F.col("hub").alias("b")).distinct()
     more = materialize(_near(more, classes, percent), "second-stars")
     if not more.isEmpty():
         links = materialize(links.union(_confirm(docs, more, k, percent).where("linked").select("a", "b")), "links")
@@ -295,7 +318,8 @@ def find_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # the exact rest
     held = materialize(_labelled(_labelled(starred.drop("star", "linked"), labels, "a", "ca"), labels, "b", "cb"), "held")
     split = held.groupBy("b").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi")).where("lo <> hi").select("b")
-    rest = materialize(_rest(held.join(split, "b").withColumnRenamed("b", "hub"), percent), "rest")
+    split = materialize(split, "split-hubs")
+    rest = materialize(_rest(held.join(_small(split), "b").withColumnRenamed("b", "hub"), percent), "rest")
     if not rest.isEmpty():
         labels = materialize(components(links.union(rest)), "components")
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
 from tidewater.llm.lexicon_bpe import Model, byte_alphabet
+from tidewater.llm.workspace import map_arrow
 
 #: Words longer than this are read one at a time instead of in lock step.
 LONG_WORD = 200
@@ -140,7 +141,7 @@ def count_pieces(docs: DataFrame, first: set[bytes], continuing: set[bytes], id_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *(pa.array(x.astype(np.int64)) for x in (words, pieces, unknown))], names=["doc_id", "n_words", "n_pieces", "n_unknown"])
 
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_unknown long")
+    return map_arrow(docs.select(*columns), run, "doc_id long, n_words long, n_pieces long, n_unknown long")
 
 
 def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import materialize
+from tidewater.llm.workspace import bucketed, lasting, map_arrow, materialize, passing
 
 SPAN = 50
 #: Length of an anchor; a string has SPAN - ANCHOR + 1 places for one.
 ANCHOR = 20
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Positions handled at once within a group.
 STEP = 1 << 20
 #: Indexes that a deal of segments is split into; each is built and left before the next.
@@ -56,8 +56,6 @@ HOT_GROUPS = 20_000
 #: Segments around one anchor that may go to one index: about the text of an average one, in
 #: segments of full length.
 HOT_SEGMENTS = (2 * GROUP_BYTES // PARTS) // (2 * SPAN - ANCHOR)
-#: Total bytes of answers up to which they are broadcast to the groups.
-BROADCAST_BYTES = 16 << 20
 
 _NO_DOC = np.int64(np.iinfo(np.int64).max)
 U64 = np.uint64
@@ -143,7 +141,7 @@ class Group:
         holders = np.unique(self.code * n_docs + self.doc) // n_docs
         several = np.bincount(holders, minlength=len(self.keys)) > 1
         again = np.flatnonzero(np.bincount(self.code, minlength=len(self.keys))[self.code] > 1)
-        _, one = tx.distinct(tx.span_hash(self.raw, self.first[again], self.first[again] + self.count[again] + SPAN - 1))
+        _, one = tx.distinct(tx.span_hash_along(self.raw, self.first[again], self.first[again] + self.count[again] + SPAN - 1, STEP))
         sent = np.maximum(np.bincount(self.code[again[one]], minlength=len(self.keys)), 1).astype("<u4")
         deal = (self.keys >> U64(40)).astype(np.int64)
         bounds = np.searchsorted(deal, np.arange(self.n_deals + 1))
@@ -175,7 +173,8 @@ class Group:
             keep = np.flatnonzero(of == 1)
             first, count, doc, anchor, single = first[keep], count[keep], doc[keep], anchor[keep], np.zeros(len(keep), bool)
         size = count + SPAN - 1
-        content = tx.span_hash(self.raw, first, first + size)
+        alone = np.count_nonzero(single)  # both parts are in ascending order
+        content = np.concatenate([tx.span_hash_along(self.raw, first[part], first[part] + size[part], STEP) for part in (slice(len(first) - alone), slice(len(first) - alone, len(first)))])
         code, one = tx.distinct_spans(self.raw, first, first + size, content)
         least = np.full(len(one), _NO_DOC)
         np.minimum.at(least, code, self.doc_ids[doc])
@@ -423,6 +422,11 @@ def _cut(n_deals: int, n_segment_deals: int, with_text: bool):
     return run
 
 
+def _at(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The running sum before each offset."""
+    return np.where(offsets > 0, sums[np.maximum(offsets, 1) - 1] if len(sums) else 0, 0).astype(np.int64)
+
+
 def _stretches(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of items whose sizes, summed in ``upto``, come to about ``most`` each."""
     lo = 0
@@ -447,48 +451,54 @@ def cut_group(group: Group, verdicts: list, answers: list, n_segment_deals: int,
                 base, top = int(at.min()), int(at.max()) + SPAN + 1
                 cover[base:top] += (np.bincount(at - base, minlength=top - base) - np.bincount(at + SPAN - base, minlength=top - base)).astype(np.int32)
     removed = np.cumsum(cover, out=cover)[:-1] > 0
-    upto = np.concatenate([[0], np.cumsum(removed, dtype=np.int32)])
+    lo, hi = group.offsets[:-1], group.offsets[1:]
+    removed_upto = _at(np.cumsum(removed, dtype=np.int32), group.offsets)
     new = removed.copy()
     new[1:] &= ~removed[:-1]
     full = group.offsets[:-1][np.diff(group.offsets) > 0]
     new[full] = removed[full]
-    spans = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])
-    lo, hi = group.offsets[:-1], group.offsets[1:]
-    kept_at = group.offsets - upto[group.offsets]
+    spans_upto = _at(np.cumsum(new, dtype=np.int32), group.offsets)
+    kept_at = group.offsets - removed_upto
     kept = group.raw[~removed].tobytes()
     pieces = [kept[a:b] for a, b in zip(kept_at.tolist(), kept_at[1:].tolist())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(group.doc_ids, pa.int64(), mask=group.has_id == 0), pa.array(hi - lo), pa.array((upto[hi] - upto[lo]).astype(np.int64)), pa.array((spans[hi] - spans[lo]).astype(np.int64)), pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string()), pa.array(pieces if with_text else [None] * len(pieces), pa.binary())],
+        [pa.array(group.doc_ids, pa.int64(), mask=group.has_id == 0), pa.array(hi - lo), pa.array(np.diff(removed_upto)), pa.array(np.diff(spans_upto)), pa.array([hashlib.sha256(p).hexdigest() for p in pieces], pa.string()), pa.array(pieces if with_text else [None] * len(pieces), pa.binary())],
         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
     )
 
 
 def _by_group(rows: DataFrame, name: str) -> DataFrame:
-    """All of a group's answers in one row; broadcast while they are small."""
-    total = rows.agg(F.sum(F.length("blob"))).first()[0] or 0
-    gathered = rows.groupBy("g").agg(F.collect_list(F.struct("deal", "blob")).alias(name))
-    return F.broadcast(gathered) if total <= BROADCAST_BYTES else gathered
+    """All of a group's answers in one row: what its own segments ask for, so bounded like a group."""
+    return rows.groupBy("g").agg(F.collect_list(F.struct("deal", "blob")).alias(name)).hint("shuffle_hash")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the
     bytes kept."""
+    with passing(docs.sparkSession):  # the tables of the way there go with it
+        out = _cut_repeats(docs, with_text, id_col, text_col)
+        with lasting():
+            return materialize(out, "cut-documents")
+
+
+def _cut_repeats(docs: DataFrame, with_text: bool, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = int(total // GROUP_BYTES) + 1
     n_deals, n_segment_deals = n_groups // 2 + 1, n_groups
     tie = F.xxhash64("text")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", tie), F.lit(n_groups)).cast("int").alias("g"), "doc_id", "text", tie.alias("tie"))
-    groups = materialize(dealt.groupBy("g").applyInArrow(_pack, "g int, docs binary"), "groups")
+    # in buckets by group: answers come to the documents, which are not shuffled again
+    groups = bucketed(dealt.groupBy("g").applyInArrow(_pack, "g int, docs binary"), "groups", n_groups, "g")
 
     sent = "g int, deal int, blob binary"
-    anchors = groups.mapInArrow(_send_anchors(n_deals), sent)
+    anchors = map_arrow(groups, _send_anchors(n_deals), sent)
     verdicts = _by_group(materialize(anchors.groupBy("deal").applyInArrow(_judge, sent), "verdicts"), "verdicts")
     judged = groups.join(verdicts, "g", "left").select("g", "docs", "verdicts")
-    segments = judged.mapInArrow(_send_segments(n_deals, n_segment_deals), sent)
+    segments = map_arrow(judged, _send_segments(n_deals, n_segment_deals), sent)
     answers = _by_group(materialize(segments.groupBy("deal").applyInArrow(_index, sent), "answers"), "answers")
     whole = judged.join(answers, "g", "left").select("g", "docs", "verdicts", "answers")
-    out = whole.mapInArrow(_cut(n_deals, n_segment_deals, with_text), _RESULT)
+    out = map_arrow(whole, _cut(n_deals, n_segment_deals, with_text), _RESULT)
     return out if with_text else out.drop("kept")
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
-from tidewater.llm.workspace import materialize
+from tidewater.llm.workspace import map_arrow, materialize
 
 #: Setting with the key of :func:`op6_surrogates`; without it a key is drawn for the run.
 KEY_SETTING = "spark.tidewater.surrogateKey"
@@ -460,7 +460,7 @@ def later_attempts(entities: DataFrame, key: bytes) -> DataFrame:
     taken = entities.select("kind", _shown("entity").alias("shown"))
     open_, attempt, settled = entities.select("kind", "entity"), 0, []
     while True:
-        drawn = materialize(open_.mapInArrow(_draw(key, attempt), _DRAWN).withColumn("shown", _shown("surrogate")), "surrogates")
+        drawn = materialize(map_arrow(open_, _draw(key, attempt), _DRAWN).withColumn("shown", _shown("surrogate")), "surrogates")
         own = drawn.withColumn("self", _shown("entity"))
         shared = own.groupBy("kind", "shown").agg(F.min("self").alias("owner"), F.max("self").alias("other")).where("owner <> other").select("kind", "shown", "owner")
         before = taken.join(drawn.select("kind", "shown"), ["kind", "shown"], "left_semi").distinct()
@@ -519,16 +519,16 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     if not key:
         raise ValueError("surrogates need a key")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(docs.select("text").mapInArrow(_detect, "digest string, kind string, entity string"), "mentions")
+    found = materialize(map_arrow(docs.select("text"), _detect, "digest string, kind string, entity string"), "mentions")
     entities = materialize(found.select("kind", "entity").distinct(), "entities")
     later = materialize(later_attempts(entities, key), "later-attempts")
     if later.count() <= BROADCAST_EXCEPTIONS:
         table = {(r["kind"], r["entity"]): r["attempt"] for r in later.collect()}
-        return docs.mapInArrow(_replace(key, docs.sparkSession.sparkContext.broadcast(table)), _OUT)
+        return map_arrow(docs, _replace(key, docs.sparkSession.sparkContext.broadcast(table)), _OUT)
     # by the text's digest, so that a list holds what one text mentions, however many rows have it
     own = found.distinct().join(later, ["kind", "entity"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("later"))
     joined = docs.join(own, F.md5(docs["text"].cast("binary")) == own["digest"], "left").select("doc_id", "text", "later")
-    return joined.mapInArrow(_replace(key, None), _OUT)
+    return map_arrow(joined, _replace(key, None), _OUT)
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

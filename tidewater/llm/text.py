@@ -79,7 +79,7 @@ def spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple
 
 
 _powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
-_KEEP = 4 << 20
+_KEEP = (2 << 20) + 1
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +124,17 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 
+def span_hash_along(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """``span_hash`` of short spans in ascending order, a stretch of ``raw`` at a time."""
+    out, i = np.zeros(len(starts), dtype=U64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(starts, base + step))
+        out[i:j] = span_hash(raw[base : int(ends[i:j].max())], starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
+
+
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code of each item, index of the first item of each code)."""
     codes, values = pd.factorize(hashes)

@@ -7,9 +7,13 @@ in order) with the root of a Merkle tree over them.
 
 Layout under ``path``::
 
-    chunks/    digest BINARY(16), n INT, width INT, payload BINARY   each digest once
-    recipes/   doc_id, start, n_tokens, root, digests                ascending doc_id by bucket
-    manifest/  bucket, n_docs, n_tokens, root                        Merkle root of each bucket
+    chunks/    digest BINARY(16), n INT, width INT, payload BINARY        each digest once
+    recipes/   part=i/: doc_id, start, n_tokens, root, digests            ascending doc_id, part after part
+    manifest/  level, node, n_docs, n_tokens, root                        Merkle tree over the parts
+
+A part holds about ``PART_DOCS`` documents, however many there are.  Level 0 of the manifest has
+the root over the documents of each part, a level above the roots of ``FAN`` nodes of the one below,
+up to a single node.  Reading recomputes all of them.
 
 Edge cases: a null text counts as empty; an empty text is one chunk with only the end id.
 Repeated doc_ids stay separate rows (``start`` tells them apart), a null doc_id sorts first, an
@@ -25,21 +29,21 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import text as tx
 from tidewater.llm.lexicon_bpe import byte_alphabet
-from tidewater.llm.workspace import delete_path, materialize, new_path
+from tidewater.llm.workspace import delete_path, map_arrow, materialize, new_path
 
 DIGEST = 16
 #: Rows of the duplicates table up to which it is broadcast (12 bytes of key each).
 BROADCAST_ROWS = 1_000_000
-N_BUCKETS = 64
+#: Documents of a part, and nodes below one of the manifest.
+PART_DOCS, FAN = 65_536, 4_096
 #: Text encoded at once: the more, the fewer distinct words are looked up again.
 SLICE_BYTES = 4 << 20
 
@@ -116,6 +120,8 @@ def chunk_bounds(ids: np.ndarray, doc_bounds: np.ndarray, mask_bits: int, least:
     return out
 
 
+_RECIPES = "doc_id long, start long, n_tokens long, root binary, digests binary, part int"
+_MANIFEST = "level int, node int, n_docs long, n_tokens long, root binary"
 _STAGED = "kind int, pack int, row int, digest binary, n int, width int, payload binary, doc_id long, n_tokens long, root binary, digests binary"
 _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("pack", pa.int32()), ("row", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.binary())])
 
@@ -214,32 +220,60 @@ def _stage(tokenizer_path: str, end_id: int, mask_bits: int, least: int, most: i
     return run
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``bucket``, ascending ranges of doc_id, and ``start``."""
-    points = docs.agg(F.percentile_approx("doc_id", [i / N_BUCKETS for i in range(1, N_BUCKETS)], 10_000)).first()[0] or []
-    splits = F.array(*[F.lit(int(p)).cast("long") for p in sorted(set(points))]) if points else F.array().cast("array<bigint>")
-    bucketed = docs.withColumn("bucket", F.coalesce(F.size(F.filter(splits, lambda s: s < F.col("doc_id"))), F.lit(0)))
-    sums = {r["bucket"]: r["s"] for r in bucketed.groupBy("bucket").agg(F.sum("n_tokens").alias("s")).collect()}
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one range of documents in order, with the range's number and the tokens before each."""
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(batch.column(1).to_numpy())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part, np.int32)), pa.array(upto[:-1] + total), *batch.columns[:4]], names=["part", "within", *batch.schema.names[:4]])
+        total += int(upto[-1])
+
+
+def _ordered(recipes: DataFrame) -> DataFrame:
+    """``recipes(doc_id, n_tokens, root, digests, tie)`` with ``part``, ascending ranges of
+    (doc_id, root, tie), and ``start``.  ``tie`` tells equal rows apart, so none is a range of its own."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root").asc(), F.col("tie").asc()]
+    ranged = recipes.repartitionByRange(recipes.count() // PART_DOCS + 1, *order).sortWithinPartitions(*order)
+    numbered = materialize(map_arrow(ranged, _number, "part int, within long, doc_id long, n_tokens long, root binary, digests binary"), "numbered")
     ahead, total = [], 0
-    for b in range(N_BUCKETS + 1):
-        ahead.append(total)
-        total += sums.get(b, 0)
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    within = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    offset = F.element_at(F.array(*[F.lit(a).cast("long") for a in ahead]), F.col("bucket") + 1)
-    return bucketed.withColumn("start", F.coalesce(within, F.lit(0)) + offset)
+    for row in numbered.groupBy("part").agg(F.sum("n_tokens").alias("s")).orderBy("part").collect():  # a row for each part
+        ahead.append((row["part"], total))
+        total += row["s"]
+    offsets = recipes.sparkSession.createDataFrame(ahead, "part int, ahead long")
+    placed = numbered.join(F.broadcast(offsets), "part")
+    return placed.select("part", "doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "root", "digests")
 
 
-def _bucket_roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("start")
-    return pd.DataFrame({"bucket": pdf.bucket.iloc[:1], "n_docs": [len(pdf)], "n_tokens": [pdf.n_tokens.sum()], "root": [merkle_root([bytes(r) for r in pdf.root])]})
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [merkle_root([x["root"] for x in below]) for below in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], names=["node", "n_docs", "n_tokens", "root"])
+
+
+def _level(rows: DataFrame) -> DataFrame:
+    """(node, n_docs, n_tokens, root) over ``rows(node, at, docs, tokens, root)`` in the order of ``at``."""
+    below = F.array_sort(F.collect_list(F.struct("at", "root")))
+    gathered = rows.groupBy("node").agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"), below.alias("below"))
+    return map_arrow(gathered, _roots, "node int, n_docs long, n_tokens long, root binary")
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """(level, node, n_docs, n_tokens, root): the Merkle tree over ``recipes(part, start, n_tokens, root)``."""
+    level = materialize(_level(recipes.select(F.col("part").alias("node"), F.col("start").alias("at"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), "root")), "manifest")
+    out, number = level.select(F.lit(0).alias("level"), "*"), 0
+    while level.count() > 1:
+        number += 1
+        above = level.select((F.col("node") / FAN).cast("int").alias("node"), F.col("node").cast("long").alias("at"), F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"), "root")
+        level = materialize(_level(above), "manifest")
+        out = out.unionByName(level.select(F.lit(number).alias("level"), "*"))
+    return out
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, mask_bits: int = 9, least: int = 64, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write the store described above to ``path``."""
     spark = docs.sparkSession
     staging = new_path(spark, "packs")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stage(tokenizer_path, end_id, mask_bits, least, most), _STAGED)
+    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _stage(tokenizer_path, end_id, mask_bits, least, most), _STAGED)
     rows.write.option("compression", "zstd").parquet(staging)
     packs = spark.read.schema(rows.schema).parquet(staging)
 
@@ -250,11 +284,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     small = losers.count() <= BROADCAST_ROWS
     kept.join(F.broadcast(losers) if small else losers, ["pack", "row"], "left_anti").drop("pack", "row").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    recipes = materialize(packs.where("kind = 1").select("doc_id", "n_tokens", "root", "digests"), "recipes")
-    placed = _bucketed(recipes)
-    placed.sortWithinPartitions("bucket", "start").write.parquet(f"{path}/recipes")
-    written = spark.read.parquet(f"{path}/recipes")
-    written.select("bucket", "start", "n_tokens", "root").groupBy("bucket").applyInPandas(_bucket_roots, "bucket int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    recipes = materialize(packs.where("kind = 1").select("doc_id", "n_tokens", "root", "digests", F.monotonically_increasing_id().alias("tie")), "recipes")
+    _ordered(recipes).sortWithinPartitions("part", "start").write.partitionBy("part").parquet(f"{path}/recipes")
+    manifest_of(spark.read.schema(_RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     delete_path(spark, staging)
 
 
@@ -327,31 +359,36 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = crc_shift(crc, 4 * after)
         digests = batch.column(3)
         out_crc, verified = [], []
-        n_tokens, roots = batch.column(2).to_numpy(), batch.column(5)
+        n_tokens, roots, sound = batch.column(2).to_numpy(), batch.column(5), batch.column(6).to_pylist()
         xors = np.bitwise_xor.reduceat(moved, bounds[:-1]) if len(moved) else moved
         for d in range(len(parts)):
             leaves = digests[d].as_py()
             tree = merkle_root([leaves[i : i + DIGEST] for i in range(0, len(leaves), DIGEST)])
             whole = bool(good[bounds[d] : bounds[d + 1]].all()) and int(upto[bounds[d + 1]] - upto[bounds[d]]) == int(n_tokens[d])
-            verified.append(whole and tree == roots[d].as_py())
+            verified.append(whole and sound[d] and tree == roots[d].as_py())
             out_crc.append(int(xors[d]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out_crc, pa.int64()), pa.array(np.diff(bounds), pa.int32()), pa.array(verified, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document as read back from the files: doc_id, start, n_tokens, ids_crc32, n_chunks,
-    verified (every chunk matches its digest, the lengths add up, the Merkle root agrees).
+    verified (every chunk matches its digest, the lengths add up, the document's Merkle root agrees,
+    and so do its part and the whole of the manifest).
 
     Each chunk is read and hashed once, where it lies; only its digest, CRC and length travel.
     The CRC of a document follows from those of its chunks, since CRC-32 is linear.
     """
     stored = spark.read.parquet(f"{path}/chunks").select("digest", "n", "width", "payload")
-    checked = stored.mapInArrow(_read_chunks, "digest binary, crc long, n int, ok boolean")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    checked = map_arrow(stored, _read_chunks, "digest binary, crc long, n int, ok boolean")
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+    written, found = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest"), materialize(manifest_of(recipes), "manifest-read")
+    odd = materialize(written.exceptAll(found).unionByName(found.exceptAll(written)), "manifest-odd")
     steps = recipes.select("start", F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("seq", "digest"))
     parts = steps.join(checked, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("seq", "crc", "n", "ok")).alias("parts"))
-    whole = recipes.select("doc_id", "start", "n_tokens", "digests", "root").join(parts, "start").select("doc_id", "start", "n_tokens", "digests", "parts", "root")
-    return whole.mapInArrow(_join_parts, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")
+    bad_parts = odd.where("level = 0").select(F.col("node").alias("part"), F.lit(True).alias("odd")).distinct()
+    whole = recipes.select("part", "doc_id", "start", "n_tokens", "digests", "root").join(parts, "start").join(F.broadcast(bad_parts), "part", "left")  # a row for each part at most
+    whole = whole.select("doc_id", "start", "n_tokens", "digests", "parts", "root", F.col("odd").isNull().alias("sound"))
+    return map_arrow(whole, _join_parts, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")
 
 
 def _concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,13 +402,13 @@ def _concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids) rebuilt from the store, of all documents or of those in ``doc_ids``."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     steps = recipes.select("doc_id", "start", F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("seq", "digest"))
     stored = spark.read.parquet(f"{path}/chunks").select("digest", "width", "payload")
     parts = steps.join(stored, "digest").groupBy("start", "doc_id").agg(F.collect_list(F.struct("seq", "width", "payload")).alias("parts"))
-    return parts.select("doc_id", "parts").mapInArrow(_concatenate, "doc_id long, ids array<long>")
+    return map_arrow(parts.select("doc_id", "parts"), _concatenate, "doc_id long, ids array<long>")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

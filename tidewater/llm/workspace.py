@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and its Python workers, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.  Where it is unset, a temporary one serves a local
@@ -50,6 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, by: str) -> DataFrame:
+    """``df`` written in ``n`` buckets by a column, as a table of the session: a join by that column
+    shuffles the other side only.  Inside :func:`passing` the table goes with the block."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"tidewater_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    if _passing:
+        _passing[-1] += [path, f"table {table}"]
+    df.write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 _passing: list[list[str]] = []
 
 
@@ -61,7 +78,10 @@ def passing(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _passing.pop():
-            delete_path(spark, path)
+            if path.startswith("table "):
+                spark.sql(f"DROP {path.replace('table', 'TABLE', 1)}")
+            else:
+                delete_path(spark, path)
 
 
 @contextmanager
@@ -79,6 +99,35 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _release() -> None:
+    """Give memory that a task has left back to the machine: workers wait idle for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of bounded bytes; a worker frees its memory after
+    its task."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING) == _default_batch(spark):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(released, schema)
+
+
+def _default_batch(spark: SparkSession) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH_SETTING)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, so any store works."""
     target, files = _file_system(spark, path)
