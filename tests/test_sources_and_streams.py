@@ -35,7 +35,8 @@ def test_rule_cases(spark, tmp_path):
 def test_sharded_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"m{i}", [f"k{i}"]) for i in range(20)], "id int, name string, kinds array<string>")
     models.write_sharded(rows, str(tmp_path / "out"), 3)
-    parts = list((tmp_path / "out").glob("part-*"))
+    parts = sorted((tmp_path / "out").glob("model@*.json"))
+    assert [p.name for p in parts] == [f"model@0000{i}-of-00003.json" for i in range(3)]
     parts[0].write_text("// header\n" + parts[0].read_text())
     (tmp_path / "out" / f".{parts[0].name}.crc").unlink()
     assert len(parts) == 3

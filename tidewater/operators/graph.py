@@ -15,9 +15,11 @@ from tidewater.functions.rounds import MOST_ROUNDS, DidNotSettle, settled
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, key: list[str] | None = None) -> DataFrame:
     """(*key, node, distance): least number of hops from the seeds (*key, node) over edges (a, b).
 
-    Nodes come up in the order of distance, so a node is final when it is first seen.
+    Nodes come up in the order of distance, so a node is final when it is first seen.  The edges
+    are computed once and not in every round.
     """
     key = [*(key or []), "node"]
+    edges = settled(edges.select("a", "b"))
     frontier = settled(seeds.select(*key).distinct().withColumn("distance", F.lit(0)))
     seen = frontier
     for d in range(1, (most if most is not None else MOST_ROUNDS) + 1):
@@ -33,7 +35,7 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, key: list
 
 def extends_closure(types: DataFrame) -> DataFrame:
     """(ancestor, type, depth): all strict descendants of every type but the root."""
-    links = types.where("super IS NOT NULL").select("type", "super")
+    links = settled(types.where("super IS NOT NULL").select("type", "super"))
     level = settled(links.where("super <> 'Object'").select(F.col("super").alias("ancestor"), "type", F.lit(1).alias("depth")))
     out, depth = level, 1
     while True:
@@ -92,12 +94,29 @@ def textual_index(sites: DataFrame) -> DataFrame:
 
 def nearest(edges: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:
     """(node, target, distance, exported): the nearest of ``targets(node, exported)`` that a node
-    can reach; at a distance exported beats unexported, then the smallest id."""
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    seeds = targets.select(F.col("node").alias("target"), "exported", "node")
-    found = reach(back, seeds, most, ["target", "exported"])
-    best = F.min(F.struct("distance", (~F.col("exported")).alias("hidden"), "target"))
-    return found.groupBy("node").agg(best.alias("x")).select("node", "x.target", "x.distance", (~F.col("x.hidden")).alias("exported"))
+    can reach; at a distance exported beats unexported, then the smallest id.
+
+    A node carries one label.  A nearest target of a node is a nearest target of some successor
+    one step closer, so the best label among these is the node's.
+    """
+    edges = settled(edges.select("a", "b"))
+    label = F.struct((~F.col("exported")).alias("hidden"), F.col("node").alias("target"))
+    frontier = settled(targets.groupBy("node").agg(F.min(label).alias("label")).withColumn("distance", F.lit(0)))
+    seen = frontier
+    for d in range(1, most + 1):
+        step = frontier.join(edges, frontier["node"] == edges["b"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("label")).withColumnRenamed("at", "node")
+        frontier = settled(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.select("node", "label.target", "distance", (~F.col("label.hidden")).alias("exported"))
+
+
+def shorter_ranges(spans: DataFrame) -> DataFrame:
+    """``spans(line, s, e)`` that no overlapping shorter (then earlier) range of their line displaces."""
+    other = spans.selectExpr("line AS line2", "s AS s2", "e AS e2")
+    beaten = "line = line2 AND s2 <= e AND s <= e2 AND (e2 - s2 < e - s OR (e2 - s2 = e - s AND s2 < s))"
+    return spans.join(other, F.expr(beaten), "left_anti")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

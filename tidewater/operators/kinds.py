@@ -75,3 +75,47 @@ def parse_kind(column: Column) -> Column:
         F.regexp_replace(base, r"\(.*\)$", "").alias("base"),
         F.regexp_extract(base, r"\((.*)\)$", 1).alias("subkind"),
     )
+
+
+def canonical_list(transforms: Column) -> Column:
+    """Neighbouring sanitizers become a set: sorted, each once."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("run"))
+    closed = lambda s: F.concat(s["out"], F.array_sort(F.array_distinct(s["run"])))
+    step = lambda s, t: F.when(is_sanitizer(t), F.struct(s["out"].alias("out"), F.concat(s["run"], F.array(t)).alias("run"))).otherwise(F.struct(F.concat(closed(s), F.array(t)).alias("out"), none.alias("run")))
+    return F.aggregate(transforms, start, step, closed)
+
+
+def leading_sanitizers(transforms: Column) -> Column:
+    """The run of sanitizers at the head of a list."""
+    first = F.coalesce(F.array_position(F.transform(transforms, lambda t: is_sanitizer(t)), False), F.lit(0))
+    return F.slice(transforms, F.lit(1), F.when(first == 0, F.size(transforms)).otherwise(first - 1).cast("int"))
+
+
+def filter_global(incoming: Column, existing: Column) -> Column:
+    """``incoming`` without those of its last sanitizers that stand at the head of ``existing``."""
+    tail = F.reverse(leading_sanitizers(F.reverse(incoming)))
+    head = F.slice(incoming, F.lit(1), F.size(incoming) - F.size(tail))
+    held = leading_sanitizers(existing)
+    return F.concat(head, F.filter(tail, lambda t: ~F.array_contains(held, t)))
+
+
+def discard_unmatched(transforms: Column, forward: bool) -> Column:
+    """Sanitizers that can match nothing any more leave: going forward those of source kinds
+    (``!source:k``), going backward those of sink kinds (``!sink:k``)."""
+    gone = "!source:" if forward else "!sink:"
+    return F.filter(transforms, lambda t: ~t.startswith(gone))
+
+
+def source_as_transform(kind: Column, sink_transforms: Column) -> Column:
+    """A matched source carried on by the sink: its kind becomes a transform ahead of the sink's;
+    null where the list carries one already."""
+    held = F.exists(sink_transforms, lambda t: t.startswith("SAT["))
+    return F.when(~held, F.concat(F.array(F.concat(F.lit("SAT["), kind, F.lit("]"))), sink_transforms))
+
+
+def print_kind(kind: Column) -> Column:
+    """The text that :func:`parse_kind` reads, from its struct."""
+    before = F.when(F.size(kind["local"]) > 0, F.concat(F.array_join(kind["local"], ":"), F.lit("@"))).otherwise("")
+    within = F.when(F.size(kind["global"]) > 0, F.concat(F.array_join(kind["global"], ":"), F.lit(":"))).otherwise("")
+    return F.concat(before, within, kind["base"], F.when(kind["subkind"] != "", F.concat(F.lit("("), kind["subkind"], F.lit(")"))).otherwise(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def add_features(left: Column, right: Column) -> Column:
 
 def resolve_frozen(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Where a key has frozen rows, only they count."""
-    over = Window.partitionBy(*keys)
-    return rows.withColumn("__frozen", F.max(F.col("frozen").cast("int")).over(over)).where("NOT (__frozen = 1 AND NOT frozen)").drop("__frozen")
+    held = rows.where("frozen").select(*[F.col(k).alias(f"frozen_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"frozen_{k}")) for k in keys])
+    return rows.where("frozen").unionByName(rows.where("NOT frozen").join(held, same, "left_anti"))
 
 
 def floor_quantiles(values: DataFrame, col: str, quantiles: dict[str, float]) -> DataFrame:

@@ -91,6 +91,99 @@ def limit_leaves(tree: DataFrame, most: int, deepest: int) -> DataFrame:
     return over.groupBy("key").agg((F.min("k") - 1).alias("height"))
 
 
+def cut_to_leaves(tree: DataFrame, most: int, deepest: int) -> DataFrame:
+    """``tree`` with the paths of each key cut to the height of :func:`limit_leaves`, and
+    ``broadened`` where something was cut."""
+    heights = limit_leaves(tree, most, deepest)
+    joined = tree.join(heights, "key", "left")
+    cut = joined.select("key", F.when(F.col("height").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.coalesce("height", F.lit(0)))).alias("path"), "element", F.coalesce(F.size("path") > F.col("height"), F.lit(False)).alias("broadened"))
+    return cut.groupBy("key", "path", "element").agg(F.bool_or("broadened").alias("broadened"))
+
+
+def raw_read(tree: DataFrame, path: list[str]) -> DataFrame:
+    """The subtree at ``path`` alone: nothing flows down from its ancestors."""
+    query = _literal(path)
+    return tree.where(starts_with(F.col("path"), query)).select("key", rest(F.col("path"), F.size(query)).alias("path"), "element").distinct()
+
+
+def raw_read_longest(tree: DataFrame, queries: DataFrame) -> DataFrame:
+    """(key, found, remainder) of ``queries(key, path)``: the longest part of the path from the root
+    that the tree of the key has, and what is left of the path."""
+    heads = lambda: F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    there = tree.select("key", F.explode(heads()).alias("head")).distinct()
+    asked = queries.select("key", "path", F.explode(heads()).alias("head"))
+    best = asked.join(there, ["key", "head"], "left_semi").groupBy("key", "path").agg(F.max(F.struct(F.size("head").alias("n"), F.col("head").alias("h"))).alias("x"))
+    return best.select("key", F.col("x.h").alias("found"), rest(F.col("path"), F.col("x.n")).alias("remainder"))
+
+
+def is_index(step: Column) -> Column:
+    return step.startswith("[") & (step != ANY)
+
+
+def _indices(tree: DataFrame, depth: int) -> DataFrame:
+    """(key, parent, step): the listed indices at a depth."""
+    step = F.get("path", F.lit(depth))
+    return tree.where(F.size("path") > depth).where(is_index(step)).select("key", F.slice("path", 1, depth).alias("parent"), step.alias("step")).distinct()
+
+
+def spell_out(tree: DataFrame, indices: DataFrame, depth: int) -> DataFrame:
+    """``tree`` where an index of ``indices(key, parent, step)`` that it does not list gets a copy of
+    what stands under ``[*]``."""
+    missing = indices.join(_indices(tree, depth), ["key", "parent", "step"], "left_anti")
+    under = tree.where((F.size("path") > depth) & (F.get("path", F.lit(depth)) == ANY)).select("key", F.slice("path", 1, depth).alias("parent"), F.slice("path", F.lit(depth + 2), F.size("path")).alias("tail"), "element")
+    copies = under.join(missing, ["key", "parent"]).select("key", F.concat("parent", F.array("step"), "tail").alias("path"), "element")
+    return tree.unionByName(copies)
+
+
+def merge(left: DataFrame, right: DataFrame, deepest: int) -> DataFrame:
+    """Both trees in one.  An index that only one side lists meets the ``[*]`` of the other, so the
+    other's is spelled out for it first, at every depth."""
+    for depth in range(deepest):
+        from_left, from_right = _indices(left, depth), _indices(right, depth)
+        left, right = spell_out(left, from_right, depth), spell_out(right, from_left, depth)
+    return prune(left.unionByName(right).distinct())
+
+
+def leq(left: DataFrame, right: DataFrame, deepest: int) -> DataFrame:
+    """(key, leq): whether the left tree of each key adds nothing to the right one."""
+    joined = merge(left, right, deepest)
+    for depth in range(deepest):
+        right = spell_out(right, _indices(left, depth), depth)
+    more = joined.join(prune(right.distinct()), ["key", "path", "element"], "left_anti").select("key").distinct().withColumn("more", F.lit(True))
+    keys = left.select("key").union(right.select("key")).distinct()
+    return keys.join(more, "key", "left").select("key", F.col("more").isNull().alias("leq"))
+
+
+def write_index(tree: DataFrame, new: DataFrame, path: list[str], strong: bool = False) -> DataFrame:
+    """Elements of ``new(key, element)`` written at ``path``, minding its indices.
+
+    An index that a tree does not list yet first gets what stands under ``[*]``.  A write through
+    ``[*]`` goes to every listed index and to ``[*]`` itself, and is weak, however it was meant.
+    """
+    keys = new.select("key").distinct()
+    for depth, step in enumerate(path):
+        if step.startswith("[") and step != ANY and ANY not in path[:depth]:
+            tree = spell_out(tree, keys.select("key", _literal(path[:depth]).alias("parent"), F.lit(step).alias("step")), depth).distinct()
+    targets = keys.select("key", _literal([]).alias("parent"))
+    for depth, step in enumerate(path):
+        every = targets.select("key", "parent", F.lit(step).alias("step"))
+        if step == ANY:
+            every = every.unionByName(_indices(tree, depth).join(targets, ["key", "parent"], "left_semi"))
+        targets = every.distinct().select("key", F.concat("parent", F.array("step")).alias("parent"))
+    if strong and ANY not in path:
+        return write_strong(tree, new, path)
+    rows = new.join(targets, "key").select("key", F.col("parent").alias("path"), "element")
+    return prune(tree.unionByName(rows).distinct())
+
+
+def resolve_arguments(path: Column, constants: Column) -> Column:
+    """``path`` with every step ``[<Argument(n)>]`` replaced by the index of the constant that the
+    map ``constants`` (n to text) has for it, else by ``[*]``."""
+    number = lambda step: F.regexp_extract(step, r"^\[<Argument\((\d+)\)>\]$", 1)
+    found = lambda step: F.try_element_at(constants, number(step).try_cast("int"))
+    return F.transform(path, lambda step: F.when(number(step) == "", step).otherwise(F.coalesce(F.concat(F.lit("["), found(step), F.lit("]")), F.lit(ANY))))
+
+
 def propagate(tree: DataFrame, rules: DataFrame) -> DataFrame:
     """Elements moved by ``rules(key, input, output)``: a path under the input goes under the
     output with its remainder, and one above the input goes to the output itself."""

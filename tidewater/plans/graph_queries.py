@@ -92,16 +92,13 @@ def nearest_exported(spark, sf_dir):
     return graph.nearest(facts.edges(spark, sf_dir), targets, 4)
 
 
-_SPARSE = f"{CALLS_SQL}, edges AS (SELECT DISTINCT a % 300 AS a, b % 300 AS b FROM calls WHERE flag = 'R' AND status = 'O' AND a % 300 <> b % 300 AND (a + b) % 3 = 0)"
-
-
-@query(f"""WITH RECURSIVE {_SPARSE}, r(s, t) AS (SELECT a, b FROM edges UNION SELECT r.s, e.b FROM r JOIN edges e ON e.a = r.t),
-nodes AS (SELECT a AS node FROM edges UNION SELECT b FROM edges)
-SELECT node, least(node, coalesce((SELECT min(x.t) FROM r x JOIN r y ON y.s = x.t AND y.t = x.s WHERE x.s = node), node)) AS component FROM nodes""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, r(s, t) AS (SELECT a, b FROM edges UNION SELECT r.s, e.b FROM r JOIN edges e ON e.a = r.t),
+nodes AS (SELECT a AS node FROM edges UNION SELECT b FROM edges),
+mutual AS (SELECT x.s AS node, min(x.t) AS least FROM r x JOIN r y ON y.s = x.t AND y.t = x.s GROUP BY x.s)
+SELECT node, least(node, coalesce(mutual.least, node)) AS component FROM nodes LEFT JOIN mutual USING (node)""")
 def scc_labels(spark, sf_dir):
-    """Strongly connected components of a contracted call graph."""
-    some = facts.calls(spark, sf_dir).where("flag = 'R' AND status = 'O' AND a % 300 <> b % 300 AND (a + b) % 3 = 0")
-    return graph.strong_components(some.selectExpr("a % 300 AS a", "b % 300 AS b").distinct())
+    """Strongly connected components of the call graph."""
+    return graph.strong_components(facts.edges(spark, sf_dir))
 
 
 _FRAMES = f"""{CALLS_SQL}, frames AS (
@@ -119,7 +116,7 @@ def trace_cull(spark, sf_dir):
 
 @query(f"""{_REACH.format(hops=2)}, back(sink, node, d) AS (
   SELECT node, node, 0 FROM least JOIN methods ON node = method_id WHERE class = '{SINK_BRAND}'
-  UNION SELECT k.sink, e.a, k.d + 1 FROM back k JOIN edges e ON e.b = k.node WHERE k.d < 4)
+  UNION SELECT k.sink, e.a, k.d + 1 FROM back k JOIN edges e ON e.b = k.node WHERE k.d < 2)
 SELECT node AS entry, sink, CAST(min(d) AS INTEGER) AS distance FROM back JOIN methods ON node = method_id WHERE visibility = 'public' AND n_params = 0 GROUP BY node, sink""")
 def exploitability(spark, sf_dir):
     """Two phases: confirmed flows, then call chains from exported methods to them."""
@@ -127,7 +124,7 @@ def exploitability(spark, sf_dir):
     methods = facts.methods(spark, sf_dir)
     found = graph.reach(edges, _sources(spark, sf_dir), 2).join(methods.where(F.col("class") == SINK_BRAND).select(F.col("method_id").alias("node")), "node")
     entries = methods.where("visibility = 'public' AND n_params = 0").select(F.col("method_id").alias("node"))
-    return flows.exploitable(found.select(F.col("node").alias("sink"), "node"), edges, entries, 4)
+    return flows.exploitable(found.select(F.col("node").alias("sink"), "node"), edges, entries, 2)
 
 
 @query("""WITH spans AS (SELECT DISTINCT l_orderkey AS line, l_linenumber * 10 AS s, l_linenumber * 10 + CAST(l_quantity AS INTEGER) AS e FROM lineitem)
@@ -135,6 +132,4 @@ SELECT line, s, e FROM spans x WHERE NOT EXISTS (SELECT 1 FROM spans y WHERE y.l
 def highlight_overlap(spark, sf_dir):
     """On each line, ranges that no overlapping shorter (then earlier) range displaces."""
     spans = facts.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS line", "l_linenumber * 10 AS s", "l_linenumber * 10 + CAST(l_quantity AS INT) AS e").distinct()
-    other = spans.selectExpr("line AS line2", "s AS s2", "e AS e2")
-    beaten = "line = line2 AND s2 <= e AND s <= e2 AND (e2 - s2 < e - s OR (e2 - s2 = e - s AND s2 < s))"
-    return spans.join(other, F.expr(beaten), "left_anti")
+    return graph.shorter_ranges(spans)

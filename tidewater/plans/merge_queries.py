@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import flows, graph, lattice
+from tidewater.operators import augment, flows, graph, lattice
 from tidewater.plans.registry import query
 from tidewater.plans.selection_queries import _ABOVE, _OVERRIDES
 from tidewater.sources import facts
-from tidewater.sources.facts import CALLS_SQL, EDGES_SQL, METHODS_SQL
+from tidewater.sources.facts import CALLS_SQL, EDGES_SQL, METHODS_SQL, SITES_SQL
 
 _FRAMES_SQL = "frames AS (SELECT l_partkey AS method, l_returnflag AS kind, l_linenumber AS distance, 'S' || l_suppkey AS origin, l_orderkey % 10 AS lo, l_orderkey % 10 + l_linenumber AS hi FROM lineitem)"
 
@@ -82,23 +82,25 @@ def virtual_join_capped(spark, sf_dir):
     return flows.virtual_targets(facts.edges(spark, sf_dir), found, 4)
 
 
-@query(f"""{_OVERRIDES}, c AS (SELECT o_orderkey AS call, o_orderkey % 2000 AS base, 'N' || (o_custkey % 25) AS receiver FROM orders)
-SELECT c.call, ov.method AS target FROM c JOIN ov ON ov.base = c.base JOIN decls d ON d.method_id = ov.method WHERE d.type = c.receiver OR d.type IN (SELECT type FROM up WHERE above = c.receiver)""")
+@query(f"""{_OVERRIDES}, {SITES_SQL}, c AS (SELECT site AS call, callee AS base, 'N' || s_nationkey AS receiver FROM sites JOIN supplier ON s_suppkey = receiver),
+below AS (SELECT above AS receiver, type FROM up UNION SELECT type, type FROM decls)
+SELECT c.call, ov.method AS target FROM c JOIN ov ON ov.base = c.base JOIN decls d ON d.method_id = ov.method JOIN below ON below.receiver = c.receiver AND below.type = d.type""")
 def receiver_semi_join(spark, sf_dir):
     """Overrides kept where the receiver's type is theirs or above it."""
     decls, closure = facts.declarations(spark, sf_dir), graph.extends_closure(facts.types(spark, sf_dir))
-    calls = facts.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS call", "o_orderkey % 2000 AS base", "'N' || (o_custkey % 25) AS receiver")
+    nations = facts.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS receiver", "s_nationkey")
+    calls = facts.sites(spark, sf_dir).join(nations, "receiver").selectExpr("site AS call", "callee AS base", "'N' || s_nationkey AS receiver")
     return flows.receiver_targets(calls, graph.overrides(decls, closure), decls, closure)
 
 
-@query("""WITH s AS (SELECT DISTINCT l_partkey % 50 AS k, l_orderkey AS id, l_orderkey % 97 AS lo, l_orderkey % 97 + l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 6),
-t AS (SELECT DISTINCT l_partkey % 50 AS k, l_orderkey AS id, l_orderkey % 89 AS lo, l_orderkey % 89 + 2 * l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 4)
+@query("""WITH s AS (SELECT DISTINCT l_partkey AS k, l_orderkey AS id, l_orderkey % 97 AS lo, l_orderkey % 97 + l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'R'),
+t AS (SELECT DISTINCT l_partkey AS k, l_orderkey AS id, l_orderkey % 89 AS lo, l_orderkey % 89 + 2 * l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'A')
 SELECT s.k, s.id AS a, t.id AS b, greatest(s.lo, t.lo) AS lo, least(s.hi, t.hi) AS hi FROM s JOIN t ON s.k = t.k AND s.lo <= t.hi AND t.lo <= s.hi""")
 def interval_overlap(spark, sf_dir):
     """Frames of a key whose class intervals meet, dealt into buckets instead of compared all."""
     lines = facts.table(spark, sf_dir, "lineitem")
-    left = lines.where("l_returnflag = 'R' AND l_quantity < 6").selectExpr("l_partkey % 50 AS k", "l_orderkey AS id", "l_orderkey % 97 AS lo", "l_orderkey % 97 + l_linenumber AS hi").distinct()
-    right = lines.where("l_returnflag = 'A' AND l_quantity < 4").selectExpr("l_partkey % 50 AS k", "l_orderkey AS id", "l_orderkey % 89 AS lo", "l_orderkey % 89 + 2 * l_linenumber AS hi").distinct()
+    left = lines.where("l_returnflag = 'R'").selectExpr("l_partkey AS k", "l_orderkey AS id", "l_orderkey % 97 AS lo", "l_orderkey % 97 + l_linenumber AS hi").distinct()
+    right = lines.where("l_returnflag = 'A'").selectExpr("l_partkey AS k", "l_orderkey AS id", "l_orderkey % 89 AS lo", "l_orderkey % 89 + 2 * l_linenumber AS hi").distinct()
     return flows.overlapping(left, right, ["k"], 8)
 
 
@@ -137,32 +139,31 @@ UNION ALL SELECT e.a, t.method_id, 'Shim' FROM edges e JOIN methods s ON e.b = s
 def shim_edges(spark, sf_dir):
     """A call of a shimmed method also calls the methods that the shim names."""
     methods, edges = facts.methods(spark, sf_dir), facts.edges(spark, sf_dir)
-    shims = methods.where("class = 'Brand#2'").select(F.col("method_id").alias("b"), "name")
-    targets = methods.where("class = 'Brand#9'").select(F.col("method_id").alias("target"), "name")
-    added = edges.join(shims, "b").join(targets, "name").select("a", F.col("target").alias("b"), F.lit("Shim").alias("call_kind"))
-    return edges.withColumn("call_kind", F.lit("Normal")).unionByName(added)
+    shims = methods.where("class = 'Brand#2'").select(F.col("method_id").alias("shimmed"), F.lit("Brand#9").alias("class"), "name")
+    return augment.with_shims(edges, shims, methods)
 
 
-@query("""WITH sends AS (SELECT DISTINCT l_suppkey AS sender, l_partkey % 25 AS target FROM lineitem WHERE l_quantity > 48), recv AS (SELECT n_nationkey AS target, n_name AS receiver FROM nation)
+@query("""WITH sends AS (SELECT DISTINCT l_suppkey AS sender, c_nationkey AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey), recv AS (SELECT n_nationkey AS target, n_name AS receiver FROM nation)
 SELECT sender, receiver FROM sends JOIN recv USING (target)""")
 def intent_routing(spark, sf_dir):
     """Send points joined with the components that receive for their target class."""
-    sends = facts.table(spark, sf_dir, "lineitem").where("l_quantity > 48").selectExpr("l_suppkey AS sender", "l_partkey % 25 AS target").distinct()
-    receivers = facts.table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS target", "n_name AS receiver")
-    return sends.join(receivers, "target").select("sender", "receiver")
+    targets = facts.table(spark, sf_dir, "orders").join(facts.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("target"))
+    sends = facts.table(spark, sf_dir, "lineitem").join(targets, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("sender"), "target")
+    receivers = facts.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS target", "n_name AS receiver")
+    return augment.route_intents(sends, receivers, ["target"])
 
 
-@query(f"""{_ABOVE}, sets AS (SELECT DISTINCT l_partkey AS key, 'S' || l_suppkey AS type FROM lineitem WHERE l_quantity <= 3),
+@query(f"""{_ABOVE}, sets AS (SELECT DISTINCT l_partkey AS key, 'S' || l_suppkey AS type FROM lineitem),
 size AS (SELECT key, count(*) AS n FROM sets GROUP BY key),
 lifted AS (SELECT key, type AS above FROM sets UNION ALL SELECT key, up.above FROM sets JOIN up USING (type)),
 shared AS (SELECT l.key, l.above FROM lifted l JOIN size USING (key) GROUP BY l.key, l.above, n HAVING count(*) = n),
 depth AS (SELECT type, count(*) AS d FROM up GROUP BY type),
 best AS (SELECT key, above, row_number() OVER (PARTITION BY key ORDER BY coalesce(d, 0) DESC, above DESC) AS k FROM shared LEFT JOIN depth ON depth.type = above)
-SELECT size.key, CASE WHEN n <= 3 THEN coalesce(above, 'Object') END AS super FROM size LEFT JOIN best ON best.key = size.key AND k = 1""")
+SELECT size.key, CASE WHEN n <= 40 THEN coalesce(above, 'Object') END AS super FROM size LEFT JOIN best ON best.key = size.key AND k = 1""")
 def type_join_lca(spark, sf_dir):
-    """The deepest common type of each set of types; sets of more than three stand for any."""
-    sets = facts.table(spark, sf_dir, "lineitem").where("l_quantity <= 3").selectExpr("l_partkey AS key", "'S' || l_suppkey AS type").distinct()
-    return lattice.common_super(sets, graph.extends_closure(facts.types(spark, sf_dir)), 3)
+    """The deepest common type of each set of types; sets of more than forty stand for any."""
+    sets = facts.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS key", "'S' || l_suppkey AS type").distinct()
+    return lattice.common_super(sets, graph.extends_closure(facts.types(spark, sf_dir)), 40)
 
 
 @query(f"""WITH {METHODS_SQL}, old AS (SELECT l_partkey AS method, min(l_linenumber) AS distance FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),

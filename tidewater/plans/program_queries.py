@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph, program
+from tidewater.operators import augment, graph, program
 from tidewater.plans.registry import query
 from tidewater.plans.selection_queries import _ABOVE
 from tidewater.sources import facts
-from tidewater.sources.facts import BODY_SQL, CALLS_SQL, DECLS_SQL, EDGES_SQL, METHODS_SQL
+from tidewater.sources.facts import BODY_SQL, CALLS_SQL, DECLS_SQL, EDGES_SQL, METHODS_SQL, SITES_SQL
 
 _DEPTHS = _ABOVE.replace("up(type, above) AS (SELECT type, super FROM", "up(type, above, depth) AS (SELECT type, super, 1 FROM").replace("UNION SELECT up.type, types.super FROM", "UNION SELECT up.type, types.super, depth + 1 FROM")
 
@@ -18,43 +18,44 @@ def _closure(spark, sf_dir):
     return graph.extends_closure(facts.types(spark, sf_dir))
 
 
-@query(f"""{_DEPTHS}, sites AS (SELECT o_orderkey AS site, 'S' || (o_custkey % 100) AS type, p_name AS name FROM orders JOIN part ON p_partkey = o_orderkey % 2000),
-seen AS (SELECT site, name, type, 0 AS depth FROM sites UNION ALL SELECT site, name, above, depth FROM sites JOIN up USING (type)),
+@query(f"""{_DEPTHS}, {SITES_SQL}, named AS (SELECT site, 'S' || receiver AS type, p_name AS name FROM sites JOIN part ON p_partkey = callee),
+seen AS (SELECT site, name, type, 0 AS depth FROM named UNION ALL SELECT site, name, above, depth FROM named JOIN up USING (type)),
 ranked AS (SELECT site, method_id, row_number() OVER (PARTITION BY site ORDER BY depth, method_id) AS k FROM seen JOIN decls USING (name, type))
 SELECT site, method_id AS method FROM ranked WHERE k = 1""")
 def call_target_resolution(spark, sf_dir):
     """Virtual calls resolved to the declaration nearest above the receiver's type."""
-    parts = facts.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name AS name")
-    orders = facts.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS site", "'S' || (o_custkey % 100) AS type", "o_orderkey % 2000 AS p_partkey")
-    return program.resolve_targets(orders.join(parts, "p_partkey"), facts.declarations(spark, sf_dir), _closure(spark, sf_dir))
+    parts = facts.table(spark, sf_dir, "part").selectExpr("p_partkey AS callee", "p_name AS name")
+    named = facts.sites(spark, sf_dir).join(parts, "callee").selectExpr("site", "'S' || receiver AS type", "name")
+    return program.resolve_targets(named, facts.declarations(spark, sf_dir), _closure(spark, sf_dir))
 
 
-@query(f"""{_DEPTHS}, fields AS (SELECT DISTINCT 'N' || (p_partkey % 25) AS type, 'f' || (p_size % 6) AS field FROM part WHERE p_size < 9 UNION SELECT DISTINCT 'S' || (p_partkey % 100), 'f' || (p_size % 4) FROM part WHERE p_size = 7),
+@query(f"""{_DEPTHS}, fields AS (SELECT DISTINCT 'N' || (p_partkey % 25) AS type, 'f' || (p_size % 6) AS field FROM part WHERE p_size < 9 UNION SELECT DISTINCT type, 'f' || (p_size % 4) FROM decls JOIN part ON p_partkey = method_id WHERE p_size = 7),
 seen AS (SELECT type, field, 0 AS depth, type AS owner FROM fields UNION ALL SELECT up.type, field, depth, above FROM fields JOIN up ON fields.type = up.above),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY type, field ORDER BY depth, owner) AS k FROM seen)
 SELECT type, field, owner FROM ranked WHERE k = 1""")
 def field_visibility(spark, sf_dir):
     """Fields of a type and those that it inherits from the nearest owner."""
     parts = facts.table(spark, sf_dir, "part")
-    fields = parts.where("p_size < 9").selectExpr("'N' || (p_partkey % 25) AS type", "'f' || (p_size % 6) AS field").union(parts.where("p_size = 7").selectExpr("'S' || (p_partkey % 100)", "'f' || (p_size % 4)")).distinct()
+    owned = facts.declarations(spark, sf_dir).join(parts.where("p_size = 7").selectExpr("p_partkey AS method_id", "p_size"), "method_id").selectExpr("type", "'f' || (p_size % 4) AS field")
+    fields = parts.where("p_size < 9").selectExpr("'N' || (p_partkey % 25) AS type", "'f' || (p_size % 6) AS field").union(owned).distinct()
     return program.visible_fields(fields, _closure(spark, sf_dir))
 
 
-@query("""WITH w AS (SELECT DISTINCT l_partkey AS key, 'S' || l_suppkey AS type FROM lineitem WHERE l_quantity <= 12)
+@query("""WITH w AS (SELECT DISTINCT l_partkey AS key, 'S' || l_suppkey AS type FROM lineitem)
 SELECT key, count(*) AS n, CASE WHEN count(*) <= 6 THEN string_agg(type, ',' ORDER BY type) END AS types FROM w GROUP BY key""")
 def global_types_cap(spark, sf_dir):
     """The types that reach a field, any type beyond a cap."""
-    writes = facts.table(spark, sf_dir, "lineitem").where("l_quantity <= 12").selectExpr("l_partkey AS key", "'S' || l_suppkey AS type")
+    writes = facts.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS key", "'S' || l_suppkey AS type")
     return program.capped_types(writes, 6).withColumn("types", F.array_join("types", ","))
 
 
-@query(f"""{_ABOVE}, l AS (SELECT o_orderkey AS key, 'N' || (o_custkey % 25) AS local FROM orders), g AS (SELECT o_orderkey AS key, 'S' || (o_custkey % 100) AS global FROM orders WHERE o_orderkey % 3 <> 0)
+@query(f"""{_ABOVE}, l AS (SELECT o_orderkey AS key, 'N' || (o_custkey % 25) AS local FROM orders), g AS (SELECT l_orderkey AS key, 'S' || min(l_suppkey) AS global FROM lineitem GROUP BY l_orderkey)
 SELECT key, CASE WHEN up.type IS NOT NULL THEN global ELSE local END AS type FROM l LEFT JOIN g USING (key) LEFT JOIN up ON up.type = global AND up.above = local""")
 def refine_types(spark, sf_dir):
     """A local type gives way to a narrower global one; an incompatible one is ignored."""
     orders = facts.table(spark, sf_dir, "orders")
     local = orders.selectExpr("o_orderkey AS key", "'N' || (o_custkey % 25) AS local")
-    found = orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS key", "'S' || (o_custkey % 100) AS global")
+    found = facts.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.min("l_suppkey").alias("s")).selectExpr("key", "'S' || s AS global")
     return program.refine_types(local, found, _closure(spark, sf_dir))
 
 
@@ -80,9 +81,9 @@ def constant_argument(spark, sf_dir):
 SELECT m.method_id, 'Exploitability' AS kind, 'via-' || lower(m.package) AS feature FROM methods m JOIN parts p USING (class) WHERE p.exported AND p.permission > 2 AND m.visibility <> 'private'""")
 def manifest_sources(spark, sf_dir):
     """Methods of exported components without a permission become sources, but private ones."""
-    components = facts.table(spark, sf_dir, "supplier").groupBy(F.expr("'Brand#' || (1 + s_suppkey % 25)").alias("class")).agg(F.min("s_nationkey").alias("permission"), F.bool_or(F.col("s_acctbal") > 5000).alias("exported"))
-    open_ = components.where("exported AND permission > 2").select("class")
-    return facts.methods(spark, sf_dir).join(open_, "class").where("visibility <> 'private'").select("method_id", F.lit("Exploitability").alias("kind"), F.concat(F.lit("via-"), F.lower("package")).alias("feature"))
+    components = facts.table(spark, sf_dir, "supplier").groupBy(F.expr("'Brand#' || (1 + s_suppkey % 25)").alias("class")).agg(F.min("s_nationkey").alias("nation"), F.bool_or(F.col("s_acctbal") > 5000).alias("exported"))
+    components = components.withColumn("permission", F.when(F.col("nation") <= 2, F.concat(F.lit("P"), F.col("nation").cast("string"))))
+    return augment.exported_sources(facts.methods(spark, sf_dir), components)
 
 
 @query(f"""WITH {CALLS_SQL}, {METHODS_SQL}, registered AS (SELECT DISTINCT t.class FROM calls JOIN methods s ON b = s.method_id AND s.name = 'red widget' JOIN methods t ON a = t.method_id)
@@ -90,23 +91,21 @@ SELECT method_id, 'Argument(' || 2 || ')' AS port FROM methods JOIN registered U
 def receiver_sources(spark, sf_dir):
     """Callbacks of classes that register themselves become sources."""
     methods = facts.methods(spark, sf_dir)
-    register = methods.where("name = 'red widget'").select(F.col("method_id").alias("b"))
-    callers = facts.edges(spark, sf_dir).join(register, "b", "left_semi").select(F.col("a").alias("method_id"))
-    classes = methods.join(callers, "method_id", "left_semi").select("class").distinct()
-    return methods.join(classes, "class").where("name = 'blue bolt' AND n_params >= 2").select("method_id", F.lit("Argument(2)").alias("port"))
+    classes = augment.registering_classes(methods, facts.edges(spark, sf_dir), F.col("name") == "red widget")
+    return augment.callback_sources(methods, classes, ["blue bolt"], 2)
 
 
-@query(f"""WITH RECURSIVE {METHODS_SQL}, {EDGES_SQL}, t AS (SELECT method_id AS node, n_params = 0 AS exported FROM methods WHERE class = 'Brand#5'),
+@query(f"""WITH RECURSIVE {METHODS_SQL}, {EDGES_SQL}, {SITES_SQL}, t AS (SELECT method_id AS node, n_params = 0 AS exported FROM methods WHERE class = 'Brand#5'),
 r(target, exported, node, d) AS (SELECT node, exported, node, 0 FROM t UNION SELECT r.target, r.exported, e.a, d + 1 FROM r JOIN edges e ON e.b = r.node WHERE d < 3),
 best AS (SELECT node, target, exported, min(d) AS d FROM r GROUP BY node, target, exported),
 one AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, NOT exported, target) AS k FROM best)
-SELECT o_orderkey AS issue, CASE WHEN exported THEN 'via-exported,' WHEN NOT exported THEN 'via-unexported,' ELSE '' END || coalesce('via-class:' || target, '') || CASE WHEN d > 1 THEN ',via-distant' ELSE '' END AS features
-FROM orders LEFT JOIN one ON node = o_orderkey % 2000 AND k = 1""")
+SELECT site AS issue, CASE WHEN exported THEN 'via-exported,' WHEN NOT exported THEN 'via-unexported,' ELSE '' END || coalesce('via-class:' || target, '') || CASE WHEN d > 1 THEN ',via-distant' ELSE '' END AS features
+FROM sites LEFT JOIN one ON node = callee AND k = 1""")
 def issue_class_features(spark, sf_dir):
     """Issues tagged by the nearest component."""
     targets = facts.methods(spark, sf_dir).where("class = 'Brand#5'").select(F.col("method_id").alias("node"), (F.col("n_params") == 0).alias("exported"))
     nearest = graph.nearest(facts.edges(spark, sf_dir), targets, 3)
-    issues = facts.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS issue", "o_orderkey % 2000 AS node")
+    issues = facts.sites(spark, sf_dir).selectExpr("site AS issue", "callee AS node")
     return program.component_features(issues, nearest, 1).select("issue", F.array_join("features", ",").alias("features"))
 
 

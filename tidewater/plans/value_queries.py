@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import bodies, kinds, localflow, paths
+from tidewater.operators import augment, bodies, kinds, localflow, paths, reports
 from tidewater.plans.registry import query
 from tidewater.sources import facts
 from tidewater.sources.facts import BODY_SQL, CALLS_SQL, METHODS_SQL
 
 # --- paths: the fields of a line item's tree are its order, line and flag -------------------
 
-_TREE_SQL = """tree AS (SELECT DISTINCT l_partkey % 200 AS key,
+_TREE_SQL = """tree AS (SELECT DISTINCT l_partkey AS key,
   CASE l_linenumber % 4 WHEN 0 THEN [] WHEN 1 THEN ['.f' || (l_suppkey % 3)] WHEN 2 THEN ['.f' || (l_suppkey % 3), '.g' || (l_orderkey % 3)] ELSE ['.f' || (l_suppkey % 3), '.g' || (l_orderkey % 3), '.h' || (l_orderkey % 2)] END AS path,
-  l_returnflag AS element FROM lineitem WHERE l_quantity <= 10)"""
+  l_returnflag AS element FROM lineitem)"""
 
 
 def _tree(spark, sf_dir):
     path = """CASE l_linenumber % 4 WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array('.f' || (l_suppkey % 3)) WHEN 2 THEN array('.f' || (l_suppkey % 3), '.g' || (l_orderkey % 3))
       ELSE array('.f' || (l_suppkey % 3), '.g' || (l_orderkey % 3), '.h' || (l_orderkey % 2)) END AS path"""
-    return facts.table(spark, sf_dir, "lineitem").where("l_quantity <= 10").selectExpr("l_partkey % 200 AS key", path, "l_returnflag AS element").distinct()
+    return facts.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS key", path, "l_returnflag AS element").distinct()
 
 
 def _shown(df):
@@ -183,15 +183,15 @@ def body_final_state(spark, sf_dir):
     return bodies.fold_states(facts.body(spark, sf_dir), ["view", "error", "signup"])
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS method, 'P' || (l_partkey % 4) AS src, '+f' || (l_orderkey % 3) AS put FROM lineitem WHERE l_quantity <= 5),
-r AS (SELECT DISTINCT l_suppkey AS method, 'R' || (l_partkey % 3) AS dst, '.f' || (l_orderkey % 4) AS get FROM lineitem WHERE l_quantity >= 46)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS method, 'P' || (l_partkey % 4) AS src, '+f' || (l_orderkey % 3) AS put FROM lineitem WHERE l_returnflag = 'R'),
+r AS (SELECT DISTINCT l_suppkey AS method, 'R' || (l_partkey % 3) AS dst, '.f' || (l_orderkey % 4) AS get FROM lineitem WHERE l_returnflag <> 'R')
 SELECT DISTINCT method, src, dst FROM e JOIN r USING (method) WHERE substr(put, 2) = substr(get, 2)""")
 def localflow_compose(spark, sf_dir):
     """A store into a field of a temporary and a read of the same field cancel."""
     lines = facts.table(spark, sf_dir, "lineitem")
     none = "CAST(array() AS array<string>) AS calls"
-    stores = lines.where("l_quantity <= 5").selectExpr("l_suppkey AS method", "'P' || (l_partkey % 4) AS src", "'tmp' AS dst", "array('+f' || (l_orderkey % 3)) AS fields", none).distinct()
-    reads = lines.where("l_quantity >= 46").selectExpr("l_suppkey AS method", "'tmp' AS src", "'R' || (l_partkey % 3) AS dst", "array('.f' || (l_orderkey % 4)) AS fields", none).distinct()
+    stores = lines.where("l_returnflag = 'R'").selectExpr("l_suppkey AS method", "'P' || (l_partkey % 4) AS src", "'tmp' AS dst", "array('+f' || (l_orderkey % 3)) AS fields", none).distinct()
+    reads = lines.where("l_returnflag <> 'R'").selectExpr("l_suppkey AS method", "'tmp' AS src", "'R' || (l_partkey % 3) AS dst", "array('.f' || (l_orderkey % 4)) AS fields", none).distinct()
     temps = lines.selectExpr("l_suppkey AS method", "'tmp' AS node").distinct()
     return localflow.eliminate(stores.unionByName(reads), temps).where("size(fields) = 0").select("method", "src", "dst").distinct()
 
@@ -203,16 +203,14 @@ def localflow_compose(spark, sf_dir):
 WHERE NOT has_code AND name NOT IN ('red widget', 'small ring')""")
 def generator_taint_in_taint_out(spark, sf_dir):
     """Methods without code pass every argument to their result, but for a few known ones."""
-    bare = facts.methods(spark, sf_dir).where(~F.col("has_code") & ~F.col("name").isin("red widget", "small ring") & (F.col("n_params") > 0))
-    ports = bare.select("method_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("i"))
-    return ports.select("method_id", F.format_string("Argument(%d)", "i").alias("input"), F.lit("Return").alias("output"), F.lit("via-obscure-taint-in-taint-out").alias("feature"))
+    return augment.pass_through(facts.methods(spark, sf_dir), ["red widget", "small ring"])
 
 
-@query(f"WITH {METHODS_SQL}, n AS (SELECT class, name, count(*) AS n FROM methods GROUP BY class, name) SELECT class, name, n, n >= CASE WHEN class LIKE 'Brand#1%' THEN 2 ELSE 4 END AS no_join FROM n")
+@query(f"WITH {METHODS_SQL}, n AS (SELECT class, name, count(*) AS n FROM methods GROUP BY class, name) SELECT class, name, n, n >= CASE WHEN class LIKE 'Brand#1%' THEN 10 ELSE 40 END AS no_join FROM n")
 def generator_join_override(spark, sf_dir):
     """A mode set where overrides are too many, with a lower limit for platform classes."""
     counts = facts.methods(spark, sf_dir).groupBy("class", "name").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("no_join", F.col("n") >= F.when(F.col("class").startswith("Brand#1"), 2).otherwise(4))
+    return augment.join_modes(counts, F.col("class").startswith("Brand#1"))
 
 
 @query("""WITH d AS (SELECT DISTINCT s_nationkey AS cls, s_suppkey % 5 AS callback FROM supplier), step(i, callback) AS (VALUES (1, 3), (2, 0), (3, 1)),
@@ -220,21 +218,15 @@ h AS (SELECT cls, i, step.callback FROM d JOIN step USING (callback)), n AS (SEL
 SELECT cls, CAST(row_number() OVER (PARTITION BY cls ORDER BY i) AS INTEGER) AS step, callback FROM h JOIN n USING (cls)""")
 def lifecycle_wrappers(spark, sf_dir):
     """Classes with at least two of a lifecycle's callbacks, which are then called in its order."""
-    from pyspark.sql import Window
-
     declared = facts.table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS cls", "s_suppkey % 5 AS callback").distinct()
-    steps = F.broadcast(spark.createDataFrame([(1, 3), (2, 0), (3, 1)], "i int, callback long"))
-    held = declared.join(steps, "callback")
-    enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("cls")
-    return held.join(enough, "cls").select("cls", F.row_number().over(Window.partitionBy("cls").orderBy("i")).alias("step"), F.col("callback").cast("int").alias("callback"))
+    steps = spark.createDataFrame([(1, 3), (2, 0), (3, 1)], "i int, callback long")
+    return augment.lifecycle_steps(declared, steps).withColumn("callback", F.col("callback").cast("int"))
 
 
 @query(f"""WITH {METHODS_SQL} SELECT package AS file, bool_or(has_code AND visibility <> 'private') OR NOT bool_or(has_code) AS covered, count(*) FILTER (WHERE has_code) AS n_with_code FROM methods GROUP BY package""")
 def files_coverage(spark, sf_dir):
     """Files with an analysed method, or with no implementation at all."""
-    found = facts.methods(spark, sf_dir).groupBy(F.col("package").alias("file"))
-    analysed = F.bool_or(F.col("has_code") & (F.col("visibility") != "private"))
-    return found.agg((analysed | ~F.bool_or("has_code")).alias("covered"), F.count_if("has_code").alias("n_with_code"))
+    return reports.files_coverage(facts.methods(spark, sf_dir).withColumnRenamed("package", "file"), F.col("visibility") != "private")
 
 
 @query(f"""WITH {CALLS_SQL}, r(rule, side, kind) AS (VALUES (1, 'source', 'A'), (1, 'sink', 'O'), (2, 'source', 'X'), (2, 'sink', 'F'), (3, 'source', 'R'), (3, 'source', 'X'), (3, 'sink', 'F')),
@@ -244,9 +236,8 @@ def rules_coverage(spark, sf_dir):
     """Rules of which every side has a kind in use."""
     rules = spark.createDataFrame([(1, "source", "A"), (1, "sink", "O"), (2, "source", "X"), (2, "sink", "F"), (3, "source", "R"), (3, "source", "X"), (3, "sink", "F")], "rule int, side string, kind string")
     calls = facts.calls(spark, sf_dir)
-    used = calls.select(F.col("flag").alias("kind")).union(calls.select("status")).distinct().withColumn("used", F.lit(True))
-    sides = rules.join(used, "kind", "left").groupBy("rule", "side").agg(F.bool_or(F.coalesce("used", F.lit(False))).alias("hit"))
-    return sides.groupBy("rule").agg(F.bool_and("hit").alias("covered"))
+    used = calls.select(F.col("flag").alias("kind")).union(calls.select("status"))
+    return reports.rules_coverage(rules.withColumn("case", F.lit(0)), used)
 
 
 @query("SELECT rule, arg_min(name, pos) AS name FROM (VALUES (1, 'a', 0), (2, 'b', 1), (1, 'c', 2), (3, 'd', 3)) AS t(rule, name, pos) WHERE rule IN (1, 3) GROUP BY rule")
@@ -262,16 +253,15 @@ def explore_contains(spark, sf_dir):
     return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS method, l_returnflag AS kind FROM lineitem WHERE l_quantity <= 9), b AS (SELECT l_partkey AS method, l_returnflag AS kind FROM lineitem WHERE l_quantity BETWEEN 2 AND 10)
+@query("""WITH a AS (SELECT l_partkey AS method, l_returnflag AS kind FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_partkey AS method, l_returnflag AS kind FROM lineitem WHERE l_linestatus = 'O')
 SELECT 'removed' AS side, method, kind, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY method, kind
 UNION ALL SELECT 'added', method, kind, count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY method, kind""")
 def model_diff(spark, sf_dir):
     """Rows that one of two results has more often than the other."""
     lines = facts.table(spark, sf_dir, "lineitem")
-    a = lines.where("l_quantity <= 9").selectExpr("l_partkey AS method", "l_returnflag AS kind")
-    b = lines.where("l_quantity BETWEEN 2 AND 10").selectExpr("l_partkey AS method", "l_returnflag AS kind")
-    side = lambda df, name: df.groupBy("method", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "method", "kind", "n")
-    return side(a.exceptAll(b), "removed").unionByName(side(b.exceptAll(a), "added"))
+    a = lines.where("l_linestatus = 'F'").selectExpr("l_partkey AS method", "l_returnflag AS kind")
+    b = lines.where("l_linestatus = 'O'").selectExpr("l_partkey AS method", "l_returnflag AS kind")
+    return reports.differences(a, b, ["method", "kind"])
 
 
 @query("""WITH e AS (SELECT o_custkey AS method, list_sort(list(DISTINCT o_orderstatus)) AS expected FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1),

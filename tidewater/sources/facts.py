@@ -21,12 +21,12 @@ METHODS = [
 ]
 METHODS_SQL = f"methods AS (SELECT {', '.join(METHODS)} FROM part)"
 
-#: A call from a part to the next small line of the same order.
+#: A call from a part to the next line of the same order.
 CALLS_SQL = """calls AS (
   SELECT a, b, flag, status FROM (
     SELECT l_partkey AS a, l_returnflag AS flag, l_linestatus AS status,
            lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus, l_extendedprice, l_shipdate) AS b
-    FROM lineitem WHERE l_quantity <= 8)
+    FROM lineitem)
   WHERE b IS NOT NULL AND a <> b)"""
 EDGES_SQL = f"{CALLS_SQL}, edges AS (SELECT DISTINCT a, b FROM calls)"
 
@@ -38,14 +38,17 @@ TYPES_SQL = """types AS (
   UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
   UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer)"""
 
-#: Declarations: every third method in a nation's class, the others in that of one of its suppliers.
+#: Declarations: every third method in a nation's class, the others in that of their first supplier.
 DECLS = [
     "p_partkey AS method_id",
     "p_name AS name",
     "p_size % 7 <> 0 AS has_code",
-    "CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 25) ELSE 'S' || (p_partkey % 100) END AS type",
+    "CASE WHEN p_partkey % 3 = 0 OR first_supplier IS NULL THEN 'N' || (p_partkey % 25) ELSE 'S' || first_supplier END AS type",
 ]
-DECLS_SQL = f"decls AS (SELECT {', '.join(DECLS)} FROM part)"
+DECLS_SQL = f"decls AS (SELECT {', '.join(DECLS)} FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS first_supplier FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"
+
+#: A call site for each line: the supplier's class receives, the part's name is called.
+SITES_SQL = "sites AS (SELECT l_orderkey * 10 + l_linenumber AS site, l_partkey AS callee, l_suppkey AS receiver FROM lineitem)"
 
 #: The body of a method is the ordered events of a user.
 BODY = [
@@ -68,7 +71,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, flag, status): one row for each call."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity <= 8").withColumn("b", F.lead("l_partkey").over(order))
+    lines = table(spark, sf_dir, "lineitem").withColumn("b", F.lead("l_partkey").over(order))
     return lines.selectExpr("l_partkey AS a", "b", "l_returnflag AS flag", "l_linestatus AS status").where("b IS NOT NULL AND a <> b")
 
 
@@ -85,7 +88,14 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*DECLS)
+    first = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("first_supplier"))
+    parts = table(spark, sf_dir, "part")
+    return parts.join(first, parts["p_partkey"] == first["l_partkey"], "left").selectExpr(*DECLS)
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, callee, receiver): one row for each line."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS site", "l_partkey AS callee", "l_suppkey AS receiver")
 
 
 def body(spark: SparkSession, sf_dir: str) -> DataFrame:

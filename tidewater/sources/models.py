@@ -28,51 +28,110 @@ class UnknownKey(ValueError):
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON arrays or objects under ``path`` with the given columns; a malformed file or an unknown
-    top-level key is an error (Spark alone would drop the key silently)."""
-    known = {f.name for f in T._parse_datatype_string(schema).fields}
-    whole = spark.read.text(path, wholetext=True)
-    objects = _objects(whole)
-    unknown = [r[0] for r in objects.select(F.explode(F.json_object_keys("object")).alias("key")).distinct().where(~F.col("key").isin(*known)).limit(5).collect()]
+    """JSON arrays or objects under ``path`` with the given columns; a malformed file or a key that
+    the schema does not know, at any depth, is an error (Spark alone would drop it silently)."""
+    objects = _objects(spark.read.text(path, wholetext=True))
+    seen = objects.agg(F.schema_of_variant_agg("v")).first()[0]
+    unknown = _unknown_keys(T._parse_datatype_string(seen.replace("OBJECT<", "STRUCT<")), T._parse_datatype_string(schema)) if seen else []
     if unknown:
-        raise UnknownKey(f"unknown keys in {path}: {', '.join(sorted(unknown))}")
-    return objects.select(F.from_json("object", schema, {"mode": "FAILFAST"}).alias("o")).select("o.*")
+        raise UnknownKey(f"unknown keys in {path}: {', '.join(sorted(unknown)[:20])}")
+    return objects.select(F.from_json(F.to_json("v"), schema, {"mode": "FAILFAST"}).alias("o"), "pos").select("o.*")
+
+
+def _unknown_keys(seen: T.DataType, known: T.DataType, at: str = "") -> list[str]:
+    """Paths of the keys of ``seen`` that ``known`` does not have."""
+    if isinstance(seen, T.ArrayType) and isinstance(known, T.ArrayType):
+        return _unknown_keys(seen.elementType, known.elementType, at)
+    if isinstance(seen, T.StructType) and isinstance(known, T.MapType):
+        return [k for f in seen.fields for k in _unknown_keys(f.dataType, known.valueType, f"{at}{f.name}.")]
+    if isinstance(seen, T.StructType) and isinstance(known, T.StructType):
+        fields = {f.name: f.dataType for f in known.fields}
+        out = [f"{at}{f.name}" for f in seen.fields if f.name not in fields]
+        return out + [k for f in seen.fields if f.name in fields for k in _unknown_keys(f.dataType, fields[f.name], f"{at}{f.name}.")]
+    return []
 
 
 def _objects(files: DataFrame) -> DataFrame:
-    """(object): each JSON object of files that hold an array or a single object."""
+    """(pos, v): each JSON object of files that hold an array or a single object."""
     array = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
-    # elements stay strings: only their keys and declared columns are read
-    return files.select(F.explode(F.from_json(array, "array<variant>")).alias("v")).select(F.to_json("v").alias("object"))
+    return files.select(F.posexplode(F.from_json(array, "array<variant>")).alias("pos", "v"))
 
 
-def taint_rows(models: DataFrame) -> DataFrame:
+def taint_rows(models: DataFrame, of: str = "method") -> DataFrame:
     """(method, role, kind, port, features): one row for each taint of each model.  ``sources`` on
-    Return are generations, on an argument parameter sources."""
+    Return are generations, on an argument parameter sources.  ``of`` names what the models are of:
+    method, field (whose sources have no port) or pattern."""
     parts = None
-    for role in ROLES:
-        part = models.select("method", F.lit(role).alias("role"), F.explode(role).alias("t"))
+    for role in [r for r in ROLES if r in models.columns]:
+        part = models.select(of, F.lit(role).alias("role"), F.explode(role).alias("t"))
         parts = part if parts is None else parts.unionByName(part)
+    features = F.coalesce("t.features", F.array().cast("array<string>")).alias("features")
+    if of != "method":
+        return parts.select(of, "role", "t.kind", F.lit(None).cast("string").alias("port"), features)
     port = F.coalesce("t.port", F.when(F.col("role").isin("generations", "sources"), "Return"))
     split: Column = F.when((F.col("role") == "sources") & port.startswith("Argument"), "parameter_sources").when(F.col("role") == "sources", "generations").otherwise(F.col("role"))
-    return parts.select("method", split.alias("role"), "t.kind", port.alias("port"), F.coalesce("t.features", F.array().cast("array<string>")).alias("features"))
+    return parts.select("method", split.alias("role"), "t.kind", port.alias("port"), features)
+
+
+_CASE = "struct<sources:array<string>,sinks:array<string>,effect_sources:array<string>,transforms:array<string>>"
+
+
+def only_rules(rules: DataFrame, only: list[int] | None = None, pos: str | None = None) -> tuple[DataFrame, list[int]]:
+    """(the rules with the codes in ``only``, the first of each code; the codes that stand twice).
+    ``pos`` names a column with their order."""
+    if only is not None:
+        rules = rules.where(F.col("code").isin(only))
+    numbered = rules if pos else rules.withColumn("__pos", F.monotonically_increasing_id())
+    order = pos or "__pos"
+    # rules are configuration: a few hundred rows
+    repeated = [r["code"] for r in rules.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code").orderBy("code").collect()]
+    first = numbered.groupBy("code").agg(F.min_by(F.struct(*rules.columns), order).alias("r")).select("r.*")
+    return first, repeated
+
+
+def rule_parts(rules: DataFrame) -> DataFrame:
+    """(code, case, side, kind): all that a rule names.  A rule's own kinds are case 0, its cases
+    follow.  Sides are source, sink, effect_source, each transform by its place, each label of
+    ``multi_sources`` and the partial sinks."""
+    cases = F.concat(F.array(F.struct("sources", "sinks", "effect_sources", "transforms").cast(_CASE)), F.coalesce("cases", F.array().cast(f"array<{_CASE}>")))
+    flat = rules.select("code", F.posexplode(cases).alias("case", "c"))
+    parts = flat.select("code", "case", F.lit("source").alias("side"), F.explode("c.sources").alias("kind"))
+    for side, column in (("sink", "c.sinks"), ("effect_source", "c.effect_sources")):
+        parts = parts.unionByName(flat.select("code", "case", F.lit(side).alias("side"), F.explode(column).alias("kind")))
+    parts = parts.unionByName(flat.select("code", "case", F.posexplode("c.transforms").alias("i", "kind")).select("code", "case", F.format_string("transform:%d", "i").alias("side"), "kind"))
+    labels = rules.select("code", F.explode("multi_sources").alias("label", "kinds")).select("code", F.lit(0).alias("case"), F.concat(F.lit("source:"), "label").alias("side"), F.explode("kinds").alias("kind"))
+    partial = rules.select("code", F.lit(0).alias("case"), F.lit("partial_sink").alias("side"), F.explode("partial_sinks").alias("kind"))
+    return parts.unionByName(labels).unionByName(partial)
 
 
 def rule_cases(rules: DataFrame, only: list[int] | None = None) -> DataFrame:
     """(code, source, sink, transforms): every rule as pairs of kinds; the cases of a rule and its
-    own kinds count alike.  ``only`` keeps the rules with these codes."""
+    own kinds count alike.  ``only`` keeps the rules with these codes.  Rules with labels or effect
+    sources have more sides than a pair: see :func:`rule_parts` and :func:`rule_labels`."""
     if only is not None:
         rules = rules.where(F.col("code").isin(only))
-    own = F.array(F.struct("sources", "sinks", "effect_sources", "transforms"))
-    cases = rules.select("code", F.explode(F.concat(own, F.coalesce("cases", F.array().cast("array<struct<sources:array<string>,sinks:array<string>,effect_sources:array<string>,transforms:array<string>>>")))).alias("c"))
+    own = F.array(F.struct("sources", "sinks", "effect_sources", "transforms").cast(_CASE))
+    cases = rules.select("code", F.explode(F.concat(own, F.coalesce("cases", F.array().cast(f"array<{_CASE}>")))).alias("c"))
     pairs = cases.select("code", F.explode("c.sources").alias("source"), "c.sinks", "c.transforms")
     return pairs.select("code", "source", F.explode("sinks").alias("sink"), F.coalesce("transforms", F.array().cast("array<string>")).alias("transforms")).distinct()
 
 
-def write_sharded(rows: DataFrame, path: str, shards: int) -> None:
-    """``rows`` as JSON lines in ``shards`` files, each after a comment line."""
+def rule_labels(rules: DataFrame) -> DataFrame:
+    """(rule, label, kind) of the rules with exactly two labels, as multi-source matching needs."""
+    labels = rules.where(F.size(F.map_keys("multi_sources")) == 2).select(F.col("code").alias("rule"), F.explode("multi_sources").alias("label", "kinds"))
+    return labels.select("rule", "label", F.explode("kinds").alias("kind"))
+
+
+def write_sharded(rows: DataFrame, path: str, shards: int, name: str = "model") -> None:
+    """``rows`` as JSON lines in ``shards`` files ``name@i-of-n.json`` (five digits), each row a line."""
     numbered = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
     numbered.repartition(shards).write.mode("errorifexists").text(path)
+    context = rows.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    parts = sorted(str(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        files.rename(context._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}"), context._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}@{i:05d}-of-{len(parts):05d}.json"))
 
 
 def read_sharded(spark: SparkSession, path: str, schema: str) -> DataFrame:
