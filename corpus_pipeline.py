@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs.  All stages but the last keep the columns of ``documents``.
+
+Edge cases: a null or empty text fails the quality rules; a null source is a source of its own; a
+row with a null doc_id is no one's duplicate; rows that share a doc_id stay or go together in the
+near-dedup; texts of any length are read whole; empty tables pass through; other columns stay as
+they are until the last stage, which returns doc_id, n_tokens, the two digests and the ids.
 """
 
 from __future__ import annotations
@@ -56,8 +61,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: Components of near-duplicates and merges of a tokenizer are beyond SQL; tests hold the stages
-#: against brute force.
+#: Components of near-duplicates and merges of a tokenizer are beyond SQL; tests/llm/test_pipeline.py
+#: holds the rows of :func:`run` against a brute-force version of every stage.
 ORACLE_SQL = None
 
 
