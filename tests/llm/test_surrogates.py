@@ -18,7 +18,7 @@ def _texts():
     phones = [f"+1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}" for _ in range(10)]
     names = ["Mrs. Anna Schmidt", "Mr. Karl Vogel", "Dr. Vogel", "Госпожа Анна"]
     pool = mails + phones + names + DENSE
-    rows = [(i, " ; ".join(rng.choices(pool, k=6))) for i in range(200)] + [(500 + i, f"only {x} here") for i, x in enumerate(pool)]
+    rows = [(1000 + i, " ; ".join(rng.choices(pool, k=6))) for i in range(200)] + [(5000 + i, f"only {x} here") for i, x in enumerate(pool)]
     return rows + [r for r in AWKWARD if r[0] not in (None, 11)]
 
 
