@@ -51,7 +51,9 @@ def test_merge_equals_full_evaluation(spark):
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, graph.reach(old.union(new), seeds).collect()))
 
 
-def test_stream_of_edges(spark, tmp_path):
+@pytest.mark.parametrize("whole", [2, 20])
+def test_stream_of_edges(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(increment, "WHOLE_EVERY", whole)
     schema, seeds = "a long, b long", spark.createDataFrame([(0,)], "node long")
     batches = [[(0, 1), (1, 2)], [(2, 3), (0, 3)], [(5, 6)]]
     for n, rows in enumerate(batches):
@@ -60,5 +62,6 @@ def test_stream_of_edges(spark, tmp_path):
     query = increment.follow_edges(spark, source, seeds, str(tmp_path / "state"), str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
     assert query.exception() is None
-    last = spark.read.parquet(str(tmp_path / "state" / "reach" / "3"))
+    last = increment.distances_at(spark, str(tmp_path / "state"), 3)
     assert sorted(map(tuple, last.collect())) == [(0, 0), (1, 1), (2, 2), (3, 1)]
+    assert spark.read.parquet(str(tmp_path / "state" / "edges" / "3")).count() == 1  # a batch writes its change

@@ -23,3 +23,13 @@ def fold_states(body: DataFrame, ops: list[str]) -> DataFrame:
     """(method_id, reg, n_writes, final): writes of each register and the op of the last."""
     written = body.where(F.col("op").isin(ops))
     return written.groupBy("method_id", "reg").agg(F.count(F.lit(1)).alias("n_writes"), F.max_by("op", "pos").alias("final"))
+
+
+def infer_sinks(body: DataFrame, writes: list[str], sink: str) -> DataFrame:
+    """(method_id, reg): registers that reach a sink as they came in: nothing wrote them before."""
+    return last_write(body, writes, [sink]).where("last_pos IS NULL").select("method_id", "reg").distinct()
+
+
+def infer_generations(body: DataFrame, source: str, others: list[str], returns: str) -> DataFrame:
+    """(method_id, reg): results that a source wrote last, which make their method a generation."""
+    return last_write(body, [source, *others], [returns]).where(F.col("last_op") == source).select("method_id", "reg").distinct()

@@ -78,3 +78,16 @@ def with_literals(literals: DataFrame, patterns: list[tuple[str, str]]) -> DataF
     """
     hits = F.array_compact(F.array(*[F.when(F.col("value").rlike(f"^(?:{p})$"), F.lit(kind)) for p, kind in patterns]))
     return literals.select("id", F.explode(hits).alias("kind"))
+
+
+def with_field_models(accesses: DataFrame, models: DataFrame) -> DataFrame:
+    """``accesses(site, field)`` with the ``kinds`` of their field's model, none where it has none."""
+    return accesses.join(models.select("field", "kinds"), "field", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+
+
+def issue_methods(issues: DataFrame, frames: DataFrame) -> DataFrame:
+    """(method, kind): all that the traces of ``issues(method, kind)`` run through, along the next
+    hops of ``frames(method, kind, callee)``."""
+    hops = frames.where("callee IS NOT NULL").select(F.struct("method", "kind").alias("a"), F.struct(F.col("callee").alias("method"), "kind").alias("b"))
+    found = reach(hops.distinct(), issues.select(F.struct("method", "kind").alias("node")))
+    return found.select("node.method", "node.kind")

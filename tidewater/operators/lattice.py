@@ -74,3 +74,9 @@ def common_super(sets: DataFrame, closure: DataFrame, most: int = 40) -> DataFra
     deepest = shared.join(depth, "above", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("depth", F.lit(0)).alias("d"), "above")).alias("x"))
     found = sizes.join(deepest, "key", "left")
     return found.select("key", F.when(F.col("n") <= most, F.coalesce(F.col("x.above"), F.lit("Object"))).alias("super"))
+
+
+def first_positions(rows: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """The first ``most`` distinct positions of each key: a limit that belongs to the semantics."""
+    order = Window.partitionBy(*keys).orderBy("position")
+    return rows.select(*keys, "position").distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")

@@ -48,3 +48,14 @@ def differences(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     side = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), *on, "n")
     a, b = left.select(*on), right.select(*on)
     return side(a.exceptAll(b), "removed").unionByName(side(b.exceptAll(a), "added"))
+
+
+MODES = ("normal", "cached_models", "replay")
+
+
+def by_mode(mode: str, computed: DataFrame, loaded: DataFrame) -> DataFrame:
+    """The facts that an analysis starts from: those computed now, also those of an earlier run, or
+    only the latter."""
+    if mode not in MODES:
+        raise ValueError(f"a mode is one of {', '.join(MODES)}")
+    return computed if mode == "normal" else loaded if mode == "replay" else loaded.unionByName(computed)

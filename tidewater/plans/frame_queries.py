@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import frames, kinds, paths
+from tidewater.functions import strings
+from tidewater.operators import bodies, flows, frames, kinds, lattice, paths
 from tidewater.plans.registry import query
 from tidewater.sources import facts
-from tidewater.sources.facts import CALLS_SQL, METHODS_SQL
+from tidewater.sources.facts import BODY_SQL, CALLS_SQL, METHODS_SQL
 
 _LEAVES = "leaves AS (SELECT method_id AS method, 'K' || (n_params % 2) AS kind, [lower(package), visibility] AS features FROM methods WHERE class = 'Brand#13')"
 _HOPS = "hops AS (SELECT DISTINCT a, b, CASE WHEN flag = 'N' AND a < b THEN 0 ELSE 1 END AS cost, CASE WHEN status = 'O' THEN ['via-' || flag] ELSE [] END AS features FROM calls)"
@@ -193,3 +194,85 @@ def kind_hop(spark, sf_dir):
     rows = facts.table(spark, sf_dir, "customer")
     local, global_ = kinds.hop(F.array(F.lit("T"), F.lit("U")), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("G"))).otherwise(F.array().cast("array<string>")))
     return rows.select(F.col("c_custkey").alias("id"), F.array_join(global_, ":").alias("global"), F.size(local).alias("n_local"))
+
+
+# --- bodies, fields, traces and texts --------------------------------------------------------
+
+
+@query(f"""WITH {BODY_SQL}, w AS (SELECT *, last_value(CASE WHEN op IN ('view', 'error', 'signup') THEN pos END IGNORE NULLS) OVER (PARTITION BY method_id, reg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_pos FROM body)
+SELECT DISTINCT method_id, reg FROM w WHERE op = 'purchase' AND last_pos IS NULL""")
+def body_infer_sinks(spark, sf_dir):
+    """Parameters that reach a sink unwritten."""
+    return bodies.infer_sinks(facts.body(spark, sf_dir), ["view", "error", "signup"], "purchase")
+
+
+@query(f"""WITH {BODY_SQL}, w AS (SELECT *, last_value(CASE WHEN op IN ('view', 'error') THEN op END IGNORE NULLS) OVER (PARTITION BY method_id, reg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_op FROM body)
+SELECT DISTINCT method_id, reg FROM w WHERE op = 'click' AND last_op = 'view'""")
+def body_infer_generations(spark, sf_dir):
+    """Results that a source wrote last."""
+    return bodies.infer_generations(facts.body(spark, sf_dir), "view", ["error"], "click")
+
+
+@query("""WITH m AS (SELECT s_suppkey AS field, ['K' || (s_suppkey % 3)] AS kinds FROM supplier WHERE s_acctbal > 0)
+SELECT l_orderkey * 10 + l_linenumber AS site, l_suppkey AS field, coalesce(array_to_string(kinds, ','), '') AS kinds FROM lineitem LEFT JOIN m ON m.field = l_suppkey""")
+def field_model_join(spark, sf_dir):
+    """Field accesses with their model, an empty one where there is none."""
+    accesses = facts.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS site", "l_suppkey AS field")
+    models = facts.table(spark, sf_dir, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey AS field", "array('K' || (s_suppkey % 3)) AS kinds")
+    return flows.with_field_models(accesses, models).select("site", "field", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"""WITH RECURSIVE {METHODS_SQL}, {CALLS_SQL}, f AS (SELECT DISTINCT a AS method, flag AS kind, b AS callee FROM calls WHERE status = 'F'),
+r(method, kind) AS (SELECT method_id, 'A' FROM methods WHERE class = 'Brand#7' UNION SELECT f.callee, f.kind FROM r JOIN f ON f.method = r.method AND f.kind = r.kind) SELECT method, kind FROM r""")
+def issue_trace_methods(spark, sf_dir):
+    """All methods that the traces of issues run through."""
+    frames_ = facts.calls(spark, sf_dir).where("status = 'F'").selectExpr("a AS method", "flag AS kind", "b AS callee").distinct()
+    issues = facts.methods(spark, sf_dir).where("class = 'Brand#7'").selectExpr("method_id AS method", "'A' AS kind")
+    return flows.issue_methods(issues, frames_)
+
+
+@query("""SELECT method, position FROM (SELECT method, position, row_number() OVER (PARTITION BY method ORDER BY position) AS k FROM (SELECT DISTINCT l_partkey AS method, l_orderkey AS position FROM lineitem)) WHERE k <= 20""")
+def first_positions(spark, sf_dir):
+    """Twenty positions of a frame at most."""
+    return lattice.first_positions(facts.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS method", "l_orderkey AS position"), ["method"])
+
+
+@query(f"WITH {_TREE} SELECT key, '' AS path, element, bool_or(len(path) > 0) AS broadened FROM tree GROUP BY key, element")
+def path_collapse_root(spark, sf_dir):
+    """All elements at the root."""
+    return _shown(paths.collapse_deeper(_index_tree(spark, sf_dir, 0), 0))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, array_to_string(list_sort(list_distinct(list_filter([l_returnflag, 'm' || (l_suppkey % 2), 'p'], lambda x: x NOT IN (l_linestatus, 'm1')))), ',') AS may,
+array_to_string(list_sort(list_distinct([l_linestatus, 'm1'])), ',') AS always FROM lineitem""")
+def features_joined(spark, sf_dir):
+    """Features added in sequence: what either has for sure is always there."""
+    left = F.struct(F.array("l_returnflag", F.concat(F.lit("m"), (F.col("l_suppkey") % 2).cast("string"))).alias("may"), F.array("l_linestatus").alias("always"))
+    right = F.struct(F.array(F.lit("p")).alias("may"), F.array(F.lit("m1")).alias("always"))
+    both = lattice.add_features(left, right)
+    return facts.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.array_join(both["may"], ",").alias("may"), F.array_join(both["always"], ",").alias("always"))
+
+
+_NAME = "'La/' || replace(p_name, ' ', '$') || '$' || (p_size % 3) || ';'"
+
+
+@query(f"""SELECT p_partkey AS id, 'La/' || replace(p_name, ' ', '$') || ';' AS out, 'La/' || split_part(p_name, ' ', 1) || ';' AS outer_class, {_NAME} || '||f:()V' AS barred, {_NAME} AS class,
+'via-' || p_type || '-' || CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE p_brand END AS filled FROM part""")
+def signature_texts(spark, sf_dir):
+    """Inner classes, separators and markers."""
+    from tidewater.operators.augment import outer_class
+
+    name = F.expr(_NAME)
+    signature = F.concat(name, F.lit(".f:()V"))
+    brand = F.when(F.col("p_size") % 4 != 0, F.col("p_brand"))
+    return facts.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), strings.one_level_out(name).alias("out"), outer_class(name).alias("outer_class"), strings.barred(signature).alias("barred"),
+                                                     strings.class_of(signature).alias("class"), strings.filled(F.lit("via-%type%-%brand%"), {"type": F.col("p_type"), "brand": brand}).alias("filled"))
+
+
+@query("""SELECT c_custkey AS id, c_custkey % 4 AS "first", c_custkey % 4 + length(c_mktsegment) + CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 4 END - 1 AS "last",
+CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 + length(c_mktsegment) + 5 END AS closing FROM customer""")
+def source_line_bounds(spark, sf_dir):
+    """The bounds of a line's text, and of a call's arguments."""
+    call = F.concat(F.lpad(F.lit(""), (F.col("c_custkey") % 4).cast("int"), " "), F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "(a(b))").otherwise("(a(b"), F.lit("  "))
+    bounds, opening = strings.text_bounds(call), ((F.col("c_custkey") % 4) + F.length("c_mktsegment")).cast("int")
+    return facts.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), bounds["first"].alias("first"), bounds["last"].alias("last"), strings.closing_paren(call, opening).alias("closing"))

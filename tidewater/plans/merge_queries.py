@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import augment, flows, graph, lattice
+from tidewater.operators import augment, flows, graph, lattice, reports
 from tidewater.plans.registry import query
 from tidewater.plans.selection_queries import _ABOVE, _OVERRIDES
 from tidewater.sources import facts
@@ -173,4 +173,4 @@ def cached_models_merge(spark, sf_dir):
     """Facts of an earlier run merged with new ones: only the new part is computed again."""
     lines = facts.table(spark, sf_dir, "lineitem")
     part = lambda flag: lines.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("method")).agg(F.min("l_linenumber").alias("distance"))
-    return part("A").unionByName(part("R")).groupBy("method").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n"))
+    return reports.by_mode("cached_models", part("R"), part("A")).groupBy("method").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n"))
