@@ -163,7 +163,7 @@ def _tokenizer(path: str) -> tuple[Encoder, tx.WordCache]:
     """The encoder and this worker's word cache, made once in a worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[path] = (Encoder(path), tx.WordCache())
+        _loaded[path] = (Encoder(path), tx.WordCache(80 << 20))
     return _loaded[path]
 
 
