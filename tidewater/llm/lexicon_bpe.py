@@ -39,7 +39,7 @@ LEXICON_WORDS, ENTRY_BYTES = 65_536, 64
 #: Words longer than this are merged one at a time, by a heap.
 LONG_WORD = 256
 #: Distinct segments that a task counts before it sends them on.
-COUNTED = 100_000
+COUNTED = 200_000
 
 
 # --- the automaton -------------------------------------------------------------------------
@@ -254,7 +254,7 @@ class Encoder:
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.model.special, key=len, reverse=True))) + ")") if self.model.special else None
         self.letters = {c: b for b, c in enumerate(byte_alphabet())}
-        self.cache = tx.WordCache()
+        self.cache = tx.WordCache(80 << 20)
 
     def words(self, segment: str) -> list[bytes | int]:
         """The segment's words as bytes; special tokens as ids."""
